@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,3 +53,9 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import durable, table
+from eventloom.llm.common import durable, release, table
 
 SHINGLE, FRAGMENTS = 5, 8
 #: The order of shingles alone depends on these two, never the result: shingles seen this often are late, and so many of them.
-FREQUENT, MOST_FREQUENT = 40, 500_000
+FREQUENT, MOST_FREQUENT = 6, 1_000_000
 SIEVE_BITS = 1 << 24  # of the filter that spares reading documents that aren't in a pair
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -207,19 +207,25 @@ def link_components(docs: DataFrame) -> DataFrame:
     posted = _postings(docs, np.sort(late)).repartition("shingle")
     posted = posted.select("*", *(F.lag(c).over(by_size).alias(f"b_{c}") for c in ("key", "n", "at")), F.lead("key").over(by_size).alias("next"))
     shared = durable(posted.where("b_key <> key or next <> key").drop("next"))  # buckets of one class are gone
+    release(docs.sparkSession)
     near = shared.where("b_key <> key").select("shingle", F.col("key").alias("a"), F.col("b_key").alias("b"), F.col("n").alias("na"), F.col("b_n").alias("nb"), F.col("at").alias("pa"), F.col("b_at").alias("pb")).where(_FIT)
     pick = F.struct("b", "nb")
     near = near.groupBy("a", "na").agg(F.min_by(pick, "shingle").alias("x"), F.max_by(pick, "shingle").alias("y")).select("a", "na", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("a", "x.b", "na", "x.nb")
     texts = ids.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("all")).where("a <> b")
     same = texts.select("a", F.explode("all").alias("b"))  # one id with several texts
     first = durable(verify(docs, ids, durable(near)).unionByName(same))
+    release(docs.sparkSession)
     root = durable(components(first))
+    release(docs.sparkSession)
     rooted = shared.select("shingle", "key", "n", "at").distinct().join(root, "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     split = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     rooted = durable(rooted.join(split, "shingle", "left_semi"))
     a = rooted.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"))
     b = rooted.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("root").alias("rb"))
-    cross = durable(a.join(b, "shingle").where("ra < rb").where(_FIT).select("a", "b", "na", "nb").distinct())
+    cross = a.join(b, "shingle").where("ra < rb").where(_FIT).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # all that two prefixes share is counted; what is left can't share more than the shorter rest
+    cross = durable(cross.where("7 * (c + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)").select("a", "b", "na", "nb"))
+    release(docs.sparkSession)
     if not cross.isEmpty():
         root = durable(components(first.unionByName(verify(docs, ids, cross))))
     rows = ids.join(root, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("root"))
