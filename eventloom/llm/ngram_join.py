@@ -4,7 +4,7 @@ A document's set holds 64-bit hashes of its distinct 5-word shingles. Documents
 on classes. All shingles have one global order: the frequent ones (found by counting over all documents) last, else by
 hash. Two sets with a Jaccard of at least 0.75 share a shingle within their prefixes, so only prefixes are posted.
 
-Candidates: in a bucket (one shingle's postings) each class is first paired with its neighbour in size, at most two pairs a
+Candidates: in a bucket (one shingle's postings) each class is first paired with its neighbour in size, one pair a
 class. Pairs are verified by vertical partitioning: the order is cut into ``FRAGMENTS`` ranges, the overlap of a pair is
 counted in each range by itself, and the partial counts are summed. Linked classes are joined into components; then all
 classes that share a bucket across components, and pass the size and position bounds, are verified too. Every link between
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import durable, release, table
+from eventloom.llm.common import durable, release, table, written
 
 SHINGLE, FRAGMENTS = 5, 8
 #: The order of shingles alone depends on these two, never the result: shingles seen this often are late, and so many of them.
@@ -134,7 +134,7 @@ def _postings(docs: DataFrame, late: np.ndarray) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, fragment, part) of the sets of ``wanted`` documents (doc_id, key)."""
+    """(key, fragment, part) of the sets of ``wanted`` documents (doc_id, key), and of few others that the sieve lets pass."""
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS))
     words = wanted.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()  # at most SIEVE_BITS / 64 rows
     sieve = np.zeros(SIEVE_BITS // 64, np.int64)
@@ -159,18 +159,18 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["key", "fragment", "part"])
 
-    parts = docs.select(spot.alias("spot"), "text").mapInArrow(run, "key long, fragment int, part array<long>")
-    return parts.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "fragment"])
+    return docs.select(spot.alias("spot"), "text").mapInArrow(run, "key long, fragment int, part array<long>")
 
 
 def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """The linked ones of ``pairs`` (a, b, na, nb), by partial overlaps of fragments."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = ids.join(members, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    parts = durable(_segments(docs, wanted))
+    parts = _segments(docs, wanted)
     left = pairs.join(parts.select(F.col("key").alias("a"), "fragment", F.col("part").alias("pa")), "a")
     both = left.join(parts.select(F.col("key").alias("b"), "fragment", F.col("part").alias("pb")), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("k"))
+    partial = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("k"))
+    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("k").alias("k"))  # rows that repeat count once
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k")).where("100 * k >= 75 * (na + nb - k)").select("a", "b")
 
 
@@ -194,6 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 _FIT = "4 * least(na, nb) >= 3 * greatest(na, nb) and 7 * (1 + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)"
+_REST = "7 * (c + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)"
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -206,11 +207,13 @@ def link_components(docs: DataFrame) -> DataFrame:
     by_size = Window.partitionBy("shingle").orderBy("n", "key")
     posted = _postings(docs, np.sort(late)).repartition("shingle")
     posted = posted.select("*", *(F.lag(c).over(by_size).alias(f"b_{c}") for c in ("key", "n", "at")), F.lead("key").over(by_size).alias("next"))
-    shared = durable(posted.where("b_key <> key or next <> key").drop("next"))  # buckets of one class are gone
+    shared = written(posted.where("b_key <> key or next <> key").drop("next"))  # buckets of one class are gone
     release(docs.sparkSession)
     near = shared.where("b_key <> key").select("shingle", F.col("key").alias("a"), F.col("b_key").alias("b"), F.col("n").alias("na"), F.col("b_n").alias("nb"), F.col("at").alias("pa"), F.col("b_at").alias("pb")).where(_FIT)
     pick = F.struct("b", "nb")
-    near = near.groupBy("a", "na").agg(F.min_by(pick, "shingle").alias("x"), F.max_by(pick, "shingle").alias("y")).select("a", "na", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("a", "x.b", "na", "x.nb")
+    # most promising neighbour: the one met in most buckets, if so many could do; a choice of order, as the rest follows below
+    near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")).where(_REST)
+    near = near.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("c", "b")).alias("x")).select("a", "x.b", "na", "x.nb")
     texts = ids.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("all")).where("a <> b")
     same = texts.select("a", F.explode("all").alias("b"))  # one id with several texts
     first = durable(verify(docs, ids, durable(near)).unionByName(same))
@@ -219,12 +222,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     rooted = shared.select("shingle", "key", "n", "at").distinct().join(root, "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     split = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rooted = durable(rooted.join(split, "shingle", "left_semi"))
+    rooted = written(rooted.join(split, "shingle", "left_semi"))
     a = rooted.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"))
     b = rooted.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("root").alias("rb"))
     cross = a.join(b, "shingle").where("ra < rb").where(_FIT).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # all that two prefixes share is counted; what is left can't share more than the shorter rest
-    cross = durable(cross.where("7 * (c + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)").select("a", "b", "na", "nb"))
+    cross = durable(cross.where(_REST).select("a", "b", "na", "nb"))
     release(docs.sparkSession)
     if not cross.isEmpty():
         root = durable(components(first.unionByName(verify(docs, ids, cross))))
