@@ -1,4 +1,247 @@
-"""Queries of the event-matrix operators and the SQL that they are held against."""
+"""Queries of the event-matrix operators, and the SQL that they are held against."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.operators import agreement, communities, compare, graph
+from eventloom.operators.subspace import select_subspace, subset
+from eventloom.plans import pipeline
+from eventloom.provenance import Provenance, config_hash
+from eventloom.sources import fcs, synth
+
+DIMS, K = 64, 15
+ROUND = 6
+
+
+def _events(spark: SparkSession, d: str, dims: int = DIMS) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("event_id"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)))
+
+
+def _labels(spark, d, name: str = "label") -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("event_id"), F.col("label").alias(name))
+
+
+def _space(spark, d):
+    return select_subspace(_events(spark, d), [f"e{i}" for i in range(DIMS)], transform="none", scaling="none")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, ROUND).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _sub(transform: str, scaling: str):
+    return lambda spark, d: _rounded(select_subspace(_events(spark, d, 8), [f"e{i}" for i in range(8)], transform=transform, cofactor=0.5, scaling=scaling))
+
+
+def _knn(metric: str):
+    return lambda spark, d: _rounded(graph.knn(_space(spark, d), K, metric).select("i", "j", F.col("rank").cast("long").alias("rank"), "d"))
+
+
+def _edges(weighting: str):
+    return lambda spark, d: _rounded(graph.build_graph(_space(spark, d), k=K, weighting=weighting))
+
+
+def _sides(spark, d) -> DataFrame:
+    """events: value of clicks against views, by the parity of the user."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.col("event_type").alias("marker"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("side"), "value")
+
+
+def _changed(spark, d) -> DataFrame:
+    """The labels with some changed: another partition of the same events."""
+    return _labels(spark, d).select("event_id", F.when(F.col("event_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int").alias("label"))
+
+
+def _runs(spark, d):
+    """Four perturbed labellings: (run_id, event_id, community, got)."""
+    runs = F.broadcast(spark.range(4).select(F.col("id").alias("run_id")))
+    return _labels(spark, d, "community").crossJoin(runs).withColumn("got", F.when((F.col("event_id") + F.col("run_id")) % (F.col("run_id") + 3) == 0, (F.col("community") + 1) % 10).otherwise(F.col("community")))
+
+
+def _hits(spark, d):
+    return _runs(spark, d).select("event_id", "community", (F.col("got") == F.col("community")).alias("hit"))
+
+
+def _cores(spark, d):
+    return agreement.core_scores(_hits(spark, d)).join(_labels(spark, d, "community"), "event_id").select("event_id", "community", "core")
+
+
+def _matches(spark, d):
+    n = _runs(spark, d).groupBy("run_id", "community", "got").agg(F.count("*").alias("n"))
+    a, b = n.groupBy("run_id", "community").agg(F.sum("n").alias("na")), n.groupBy("run_id", "got").agg(F.sum("n").alias("nb"))
+    j = n.join(a, ["run_id", "community"]).join(b, ["run_id", "got"])
+    return j.groupBy("run_id", "community").agg(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
+
+
+def _quality(objective: str):
+    return lambda spark, d: _rounded(communities.quality(_edges_exact(spark, d), _labels(spark, d, "community"), resolution=0.6 if objective == "modularity" else 0.01, objective=objective))
+
+
+def _edges_exact(spark, d):
+    return graph.build_graph(_space(spark, d), k=K, weighting="jaccard")
+
+
+def _cluster(spark, d):
+    config = pipeline.CommunityConfig(tuple(f"e{i}" for i in range(DIMS)), transform="none", scaling="zscore", k=K, min_size=5)
+    return pipeline.cluster(_events(spark, d), [(f"e{i}", None) for i in range(DIMS)], config, Provenance(f"{d}/embeddings.parquet"))
+
+
+def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return communities.sizes(_cluster(spark, d).labels)
+
+
+def _roundtrip(kind: str):
+    def run(spark, d):
+        rows = _events(spark, d, 4).orderBy("event_id").toPandas()  # an FCS file is made on the driver
+        values = rows.drop(columns="event_id").to_numpy()
+        values = values if kind != "I" else (values * 1000).round().clip(0)
+        return _rounded(fcs.read_fcs_bytes(spark, fcs.build_fcs_bytes(values, ["e0", "e1", "e2", "e3"], datatype=kind)).events)
+
+    return run
+
+
+def _vote(spark, d):
+    v = graph.vectors(_space(spark, d))
+    return compare.vote(v.where("event_id % 2 = 1"), v.where("event_id % 2 = 0"), _labels(spark, d), 7)
+
+
+def _energy(spark, d):
+    v = graph.vectors(_space(spark, d)).join(_labels(spark, d), "event_id")
+    return _rounded(compare.energy_distance(v.where("label = 0"), v.where("label = 1")))
+
+
+def _synth(spark, d):
+    sizes = synth.apportion([p[1] for p in synth.POPULATIONS], 6000)
+    return spark.createDataFrame([(p[0], n) for p, n in zip(synth.POPULATIONS, sizes)], "population string, n long")
+
+
+QUERIES = {
+    "subspace_none": _sub("none", "none"), "subspace_asinh": _sub("asinh", "none"), "subspace_zscore": _sub("none", "zscore"),
+    "subspace_asinh_zscore": _sub("asinh", "zscore"), "subspace_robust": _sub("none", "robust"),
+    "subset_frozen_scaling": lambda s, d: _rounded(subset(_sub("none", "zscore")(s, d), s.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 3 = 0").select(F.col("vec_id").alias("event_id")))),
+    "knn_euclidean": _knn("euclidean"), "knn_manhattan": _knn("manhattan"), "knn_chebyshev": _knn("chebyshev"), "knn_cosine": _knn("cosine"),
+    "graph_uniform": _edges("uniform"), "graph_jaccard": _edges("jaccard"), "graph_distance": _edges("distance"),
+    "graph_mutual": lambda s, d: graph.symmetrise(graph.knn(_space(s, d), K).select("i", "j", F.lit(1.0).alias("w")), "min"),
+    "graph_stats": lambda s, d: _rounded(graph.graph_stats(_edges_exact(s, d), _labels(s, d).count())),
+    "quality_modularity": _quality("modularity"), "quality_cpm": _quality("cpm"),
+    "size_table": lambda s, d: communities.sizes(_labels(s, d, "community")),
+    "members": lambda s, d: communities.members(_labels(s, d, "community"), 3),
+    "relabel_by_size": lambda s, d: communities.relabel(_labels(s, d, "raw"), 50),
+    "leiden_labels": lambda s, d: _cluster(s, d).labels,
+    "full_pipeline": full_pipeline,
+    "cliffs_delta": lambda s, d: _rounded(compare.cliffs_delta(_sides(s, d)).withColumn("magnitude", compare.magnitude(F.col("delta")))),
+    "medians_mad": lambda s, d: _rounded(compare.medians(_sides(s, d))),
+    "bootstrap_ci": lambda s, d: compare.bootstrap_ci(_sides(s, d), 100),
+    "permutation_bh": lambda s, d: compare.benjamini_hochberg(compare.permutation_p(_sides(s, d), 99)),
+    "energy_distance": _energy,
+    "best_match": lambda s, d: _rounded(compare.best_match(agreement.contingency(_labels(s, d), _changed(s, d)))),
+    "knn_vote": _vote,
+    "ari": lambda s, d: _rounded(agreement.adjusted_rand(agreement.contingency(_labels(s, d), _changed(s, d)))),
+    "ami": lambda s, d: _rounded(agreement.adjusted_mutual_info(agreement.contingency(_labels(s, d), _changed(s, d)))),
+    "resample_draw": lambda s, d: pipeline.draw(_labels(s, d), 5, 200),
+    "core_score": lambda s, d: _rounded(_cores(s, d)),
+    "boundary_fraction": lambda s, d: _rounded(agreement.boundary_fraction(_cores(s, d))),
+    "stability_summary": lambda s, d: _rounded(agreement.summary(_matches(s, d), _cores(s, d))),
+    "sweep_grid": lambda s, d: s.createDataFrame([(k, g) for k in agreement.k_grid(30) for g in agreement.resolution_grid(0.6)], "k long, resolution double"),
+    "fcs_roundtrip_f": _roundtrip("F"), "fcs_roundtrip_d": _roundtrip("D"), "fcs_roundtrip_i": _roundtrip("I"),
+    "synth_truth_sizes": _synth,
+    "config_hash": lambda s, d: s.createDataFrame([(config_hash({"b": 1, "a": [1, 2]}),)], "id string"),
+}
+
+
+def _cols(form: str, n: int = 8) -> str:
+    return ", ".join(form.format(x=f"embedding[{i + 1}]::DOUBLE", i=i) for i in range(n))
+
+
+def _scaled(inner: str, centre: str, spread: str) -> str:
+    stats = ", ".join(f"{centre.format(c=f'm_{i}')} AS c_{i}, {spread.format(c=f'm_{i}')} AS s_{i}" for i in range(8))
+    out = ", ".join(f"round((m_{i} - c_{i}) / CASE WHEN s_{i} > 0 THEN s_{i} ELSE 1 END, 6) AS m_{i}" for i in range(8))
+    return f"WITH v AS (SELECT vec_id AS event_id, {_cols(inner)} FROM embeddings), s AS (SELECT {stats} FROM v) SELECT event_id, {out} FROM v, s"
+
+
+_PLAIN, _ASINH = "{x} AS m_{i}", "asinh({x} / 0.5::DOUBLE) AS m_{i}"
+_DISTANCE = {
+    "euclidean": "list_distance(a.v, b.v)",
+    "manhattan": "list_sum([abs(p[1] - p[2]) FOR p IN list_zip(a.v, b.v)])",
+    "chebyshev": "list_max([abs(p[1] - p[2]) FOR p IN list_zip(a.v, b.v)])",
+    "cosine": "list_cosine_distance(a.v, b.v)",
+}
+
+
+def _near(metric: str = "euclidean") -> str:
+    return f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+    near AS (SELECT a.id AS i, b.id AS j, {_DISTANCE[metric]} AS d FROM v a, v b WHERE a.id <> b.id),
+    knn AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM near QUALIFY rank <= {K}),
+    closed AS (SELECT i, j FROM knn UNION ALL SELECT DISTINCT i, i FROM knn),
+    cand AS (SELECT DISTINCT least(i, j) AS src, greatest(i, j) AS dst FROM knn),
+    overlap AS (SELECT src, dst, count(*) AS o FROM cand JOIN closed x ON x.i = src JOIN closed y ON y.i = dst AND y.j = x.j GROUP BY ALL),
+    jac AS (SELECT src, dst, o::DOUBLE / ({2 * (K + 1)} - o) AS w FROM overlap WHERE o::DOUBLE / ({2 * (K + 1)} - o) > 1.0::DOUBLE / 15)"""
+
+
+_CHANGED = "(SELECT vec_id AS event_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings)"
+_TABLE = f"t AS (SELECT e.label AS ref, c.label AS cand, count(*)::DOUBLE AS n FROM embeddings e JOIN {_CHANGED} c ON c.event_id = e.vec_id GROUP BY ALL)"
+_SIDES = "s AS (SELECT event_type AS marker, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS side, value FROM events)"
+_RUNS = "r AS (SELECT run_id, vec_id AS event_id, label AS community, CASE WHEN (vec_id + run_id) % (run_id + 3) = 0 THEN (label + 1) % 10 ELSE label END AS got FROM embeddings, range(4) x(run_id))"
+_CORE = "core AS (SELECT event_id, community, avg((got = community)::INT) AS core FROM r GROUP BY ALL)"
+
+ORACLES = {
+    "subspace_none": f"SELECT vec_id AS event_id, {_cols('round({x}, 6) AS m_{i}')} FROM embeddings",
+    "subspace_asinh": f"SELECT vec_id AS event_id, {_cols('round(asinh({x} / 0.5::DOUBLE), 6) AS m_{i}')} FROM embeddings",
+    "subspace_zscore": _scaled(_PLAIN, "avg({c})", "stddev_pop({c})"),
+    "subspace_asinh_zscore": _scaled(_ASINH, "avg({c})", "stddev_pop({c})"),
+    "subspace_robust": _scaled(_PLAIN, "quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349::DOUBLE"),
+    "subset_frozen_scaling": f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, {', '.join(f'm_{i}' for i in range(8))} FROM ({_scaled(_PLAIN, 'avg({c})', 'stddev_pop({c})')}) WHERE event_id % 3 = 0",
+    **{f"knn_{m}": f"WITH {_near(m)} SELECT i, j, rank, round(d, 6) AS d FROM knn" for m in _DISTANCE},
+    "graph_uniform": f"WITH {_near()} SELECT src, dst, 1.0::DOUBLE AS w FROM cand",
+    "graph_mutual": f"WITH {_near()} SELECT least(i, j) AS src, greatest(i, j) AS dst, 1.0::DOUBLE AS w FROM knn GROUP BY 1, 2 HAVING count(*) = 2",
+    "graph_jaccard": f"WITH {_near()} SELECT src, dst, round(w, 6) AS w FROM jac",
+    "graph_distance": f"WITH {_near()}, g AS (SELECT i, j, d, max(d) OVER (PARTITION BY i) AS s FROM knn) SELECT least(i, j) AS src, greatest(i, j) AS dst, round(max(exp(-pow(d / CASE WHEN s > 0 THEN s ELSE 1 END, 2))), 6) AS w FROM g GROUP BY 1, 2",
+    "graph_stats": f"WITH {_near()}, n AS (SELECT count(*) AS n_nodes FROM v), e AS (SELECT count(*) AS n_edges FROM jac) SELECT n_nodes, n_edges, round(2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)), 6) AS density FROM n, e",
+    "quality_modularity": f"""WITH {_near()}, k AS (SELECT id, sum(w) AS k FROM (SELECT src AS id, w FROM jac UNION ALL SELECT dst, w FROM jac) GROUP BY 1),
+        c AS (SELECT label, sum(coalesce(k, 0)) AS k FROM v LEFT JOIN k USING (id) GROUP BY 1),
+        i AS (SELECT sum(w) AS i FROM jac JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.label = b.label)
+        SELECT round(2 * max(i) - 0.6::DOUBLE * sum(k * k) / sum(k), 6) AS quality FROM c, i""",
+    "quality_cpm": f"""WITH {_near()}, c AS (SELECT label, count(*)::DOUBLE AS n FROM v GROUP BY 1),
+        i AS (SELECT sum(w) AS i FROM jac JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.label = b.label)
+        SELECT round(2 * max(i) - 0.01::DOUBLE * sum(n * (n - 1)), 6) AS quality FROM c, i""",
+    "size_table": "SELECT label AS community, count(*) AS n FROM embeddings GROUP BY 1",
+    "members": "SELECT vec_id AS event_id FROM embeddings WHERE label = 3",
+    "relabel_by_size": """WITH g AS (SELECT label, count(*) AS n, min(vec_id) AS f FROM embeddings GROUP BY 1),
+        o AS (SELECT label, CASE WHEN n < 50 THEN -1 ELSE row_number() OVER (ORDER BY n DESC, f) - 1 END::INT AS community FROM g)
+        SELECT vec_id AS event_id, community FROM embeddings JOIN o USING (label)""",
+    "cliffs_delta": f"""WITH {_SIDES}, r AS (SELECT marker, side, rank() OVER (PARTITION BY marker ORDER BY value) + (count(*) OVER (PARTITION BY marker, value) - 1) / 2.0::DOUBLE AS r FROM s),
+        x AS (SELECT marker, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side = 'b') AS n_b, sum(r) FILTER (side = 'a') AS ra FROM r GROUP BY 1),
+        d AS (SELECT marker, n_a, n_b, 2 * (ra - n_a * (n_a + 1) / 2.0::DOUBLE) / (n_a * n_b) - 1 AS delta FROM x)
+        SELECT marker, n_a, n_b, round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM d""",
+    "medians_mad": f"WITH {_SIDES} SELECT marker, side, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM s GROUP BY ALL",
+    "energy_distance": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE label IN (0, 1)),
+        p AS (SELECT a.label AS x, b.label AS y, avg(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.label < b.label OR (a.label = b.label AND a.id < b.id) GROUP BY ALL)
+        SELECT round(greatest(0, 2 * sum(d) FILTER (x <> y) - sum(d) FILTER (x = y)), 6) AS energy FROM p""",
+    "best_match": f"""WITH {_TABLE}, j AS (SELECT ref, cand, n / (sum(n) OVER (PARTITION BY ref) + sum(n) OVER (PARTITION BY cand) - n) AS jaccard FROM t)
+        SELECT ref, cand, round(jaccard, 6) AS jaccard FROM j QUALIFY row_number() OVER (PARTITION BY ref ORDER BY jaccard DESC, cand) = 1""",
+    "knn_vote": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+        n AS (SELECT a.id, b.label FROM v a, v b WHERE a.id % 2 = 1 AND b.id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= 7)
+        SELECT id AS event_id, label FROM (SELECT id, label, count(*) AS n FROM n GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1""",
+    "ari": f"""WITH {_TABLE}, x AS (SELECT (SELECT sum(n * n) FROM t) AS c, (SELECT sum(n) FROM t) AS s, (SELECT sum(y * y) FROM (SELECT sum(n) AS y FROM t GROUP BY ref)) AS a, (SELECT sum(y * y) FROM (SELECT sum(n) AS y FROM t GROUP BY cand)) AS b),
+        y AS (SELECT c - s AS tp, b - c AS fp, a - c AS fn, s * s - (b - c) - (a - c) - c AS tn FROM x)
+        SELECT round(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)), 6) AS ari FROM y""",
+    "resample_draw": "SELECT vec_id AS event_id FROM embeddings ORDER BY md5('5:' || vec_id::VARCHAR), vec_id LIMIT 200",
+    "core_score": f"WITH {_RUNS}, {_CORE} SELECT event_id, community, round(core, 6) AS core FROM core",
+    "boundary_fraction": f"WITH {_RUNS}, {_CORE} SELECT round(avg((core < 0.8)::INT), 6) AS boundary_fraction FROM core",
+    "stability_summary": f"""WITH {_RUNS}, {_CORE}, n AS (SELECT run_id, community, got, count(*)::DOUBLE AS n FROM r GROUP BY ALL),
+        j AS (SELECT run_id, community, n / (sum(n) OVER (PARTITION BY run_id, community) + sum(n) OVER (PARTITION BY run_id, got) - n) AS j FROM n),
+        m AS (SELECT run_id, community, max(j) AS j FROM j GROUP BY ALL),
+        a AS (SELECT community, avg(j) AS mj, quantile_cont(j, 0.05) AS lj, avg((j >= 0.75)::INT) AS rec FROM m GROUP BY 1),
+        c AS (SELECT community, count(*) AS size, avg((core >= 0.8)::INT) AS cf FROM core GROUP BY 1)
+        SELECT community, size, round(mj, 6) AS mean_jaccard, round(lj, 6) AS low_jaccard, round(rec, 6) AS recovery, round(cf, 6) AS core_fraction,
+        CASE WHEN mj >= 0.75 AND cf >= 0.8 THEN 'reliable' WHEN mj >= 0.5 THEN 'qualified' ELSE 'unreliable' END AS verdict FROM a JOIN c USING (community)""",
+    "sweep_grid": "SELECT k, r AS resolution FROM (VALUES (15::BIGINT), (22), (30), (45), (60)) a(k), (VALUES (0.3::DOUBLE), (0.45), (0.6), (0.9), (1.2)) b(r)",
+    "fcs_roundtrip_f": "SELECT vec_id AS event_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS e{i}" for i in range(4)) + " FROM embeddings",
+    "fcs_roundtrip_d": "SELECT vec_id AS event_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS e{i}" for i in range(4)) + " FROM embeddings",
+    "fcs_roundtrip_i": "SELECT vec_id AS event_id, " + ", ".join(f"greatest(round_even(embedding[{i + 1}]::DOUBLE * 1000, 0), 0) + 0 AS e{i}" for i in range(4)) + " FROM embeddings",
+    "synth_truth_sizes": "SELECT * FROM (VALUES ('CD4 T', 1800::BIGINT), ('CD8 T', 1320), ('B', 1200), ('NK', 780), ('CD4 T activated', 810), ('Rare NKT', 90)) t(population, n)",
+    "config_hash": """SELECT substr(sha256('{"a":[1,2],"b":1}'), 1, 16) AS id""",
+}
