@@ -4,11 +4,16 @@ A document's set holds 64-bit hashes of its distinct 5-word shingles. Documents
 on classes. All shingles have one global order: the frequent ones (found by counting over all documents) last, else by
 hash. Two sets with a Jaccard of at least 0.75 share a shingle within their prefixes, so only prefixes are posted.
 
-Candidates: in a bucket (one shingle's postings) each class is first paired with its neighbour in size, one pair a
-class. Pairs are verified by vertical partitioning: the order is cut into ``FRAGMENTS`` ranges, the overlap of a pair is
-counted in each range by itself, and the partial counts are summed. Linked classes are joined into components; then all
-classes that share a bucket across components, and pass the size and position bounds, are verified too. Every link between
-different texts is thus either verified or lies within one component already; nothing is capped.
+Candidates: in a bucket (one shingle's postings) each class is first paired with its neighbour in size and with the bucket's
+hub, the class with the largest share of frequent shingles (of near copies, the one closest to their common text). The
+``FIRST`` nearest of these are tried for each class. Pairs are verified by vertical partitioning: the order is cut into ``FRAGMENTS``
+ranges, the overlap of a pair is counted in each range by itself, and the partial counts are summed. Linked classes are
+joined into components; then all classes that share a bucket across components, and pass the bounds, are verified too. Every
+link between different texts is thus either verified or lies within one component already; nothing is capped.
+
+The bounds are exact: sizes, positions, and a parity sketch. Its bit i tells if a set has an odd number of shingles that
+hash to i, so two sets differ in at least as many shingles as their sketches differ in bits; linked sets differ in at most a
+seventh of their sizes' sum. It rejects most pairs of up to some 600 shingles; for larger sets it saturates and rejects none.
 
 Null and empty texts have an empty set and no link: their component is their own id. Rows with one doc_id and several texts
 are one node. Null ids are kept; they never name a component. Repeated rows stay; an empty table gives an empty result; only
@@ -24,12 +29,15 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import durable, release, table, written
 
-SHINGLE, FRAGMENTS = 5, 8
+SHINGLE, FRAGMENTS, SKETCH = 5, 8, 8  # SKETCH: 64-bit words of a parity sketch
+#: Neighbours tried for each class before all the rest is; a choice of order alone.
+FIRST = 3
 #: The order of shingles alone depends on these two, never the result: shingles seen this often are late, and so many of them.
 FREQUENT, MOST_FREQUENT = 6, 1_000_000
 SIEVE_BITS = 1 << 24  # of the filter that spares reading documents that aren't in a pair
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BITS = [f"bits{i}" for i in range(SKETCH)]
 _U = np.uint64
 _P, _P_INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = [_U(k) for k in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xD6E8FEB86659FD93)]
@@ -78,35 +86,43 @@ def key_of(s: np.ndarray) -> int:
         return int(_mix(np.array([np.add.reduce(_mix(s + _MIX[0])) + _U(len(s)) * _MIX[1] ^ np.bitwise_xor.reduce(s * _MIX[2])]))[0].astype(np.int64))
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as ``SKETCH`` signed 64-bit numbers."""
+    odd = np.bincount((s & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key) of every row, and rows without these that hold shingles seen repeatedly with their counts."""
+    """(doc_id, n, key, sketch) of every row, and rows without these that hold shingles seen repeatedly with their counts."""
 
     def run(batches):
         for b in batches:
-            sizes, keys, own = [], [], {}
+            sizes, keys, own, sketches = [], [], {}, []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 sizes.append(len(s))
                 keys.append(key_of(s) if len(s) else None)
+                sketches.append(sketch_of(s))
                 if len(s):
                     own[keys[-1]] = s
             common, count = np.unique(np.concatenate(list(own.values())), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = count > 1
             kind = pa.list_(pa.int64())
+            bits = np.array([*sketches, np.zeros(SKETCH, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)]), pa.array([*sizes, -1], pa.int64()), pa.array([*keys, None], pa.int64()), pa.array([None] * len(sizes) + [common[keep].astype(np.int64)], kind), pa.array([None] * len(sizes) + [count[keep]], kind)],
-                names=["doc_id", "n", "key", "common", "counts"],
+                [pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)]), pa.array([*sizes, -1], pa.int64()), pa.array([*keys, None], pa.int64()), *map(pa.array, bits.T.copy()), pa.array([None] * len(sizes) + [common[keep].astype(np.int64)], kind), pa.array([None] * len(sizes) + [count[keep]], kind)],
+                names=["doc_id", "n", "key", *_BITS, "common", "counts"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key long, common array<long>, counts array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key long, {', '.join(f'{c} long' for c in _BITS)}, common array<long>, counts array<long>")
 
 
 def _postings(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(shingle, key, n, at) of the prefixes; copies of a text are posted once a task."""
+    """(shingle, key, n, at, hub) of the prefixes, hub: late shingles in a thousand; copies of a text are posted once a task."""
     sent = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches):
@@ -118,19 +134,21 @@ def _postings(docs: DataFrame, late: np.ndarray) -> DataFrame:
                 if not len(s) or (key := key_of(s)) in done:
                     continue
                 done.add(key)
+                hub = 0
                 if len(late):
                     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     is_late = late[at] == s
+                    hub = int(1000 * is_late.sum() // len(s))
                     s = np.concatenate([s[~is_late], s[is_late]])
                 p = prefix_size(len(s))
-                parts.append((s[:p], key, len(s), p))
+                parts.append((s[:p], key, len(s), hub, p))
             if len(done) > 1_000_000:
                 done.clear()
             if parts:
                 size = [p for *_, p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, *_ in parts]).astype(np.int64)), pa.array(np.repeat([k for _, k, _, _ in parts], size)), pa.array(np.repeat([n for _, _, n, _ in parts], size).astype(np.int32)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in size]))], names=["shingle", "key", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, *_ in parts]).astype(np.int64)), pa.array(np.repeat([k for _, k, *_ in parts], size)), pa.array(np.repeat([n for _, _, n, *_ in parts], size).astype(np.int32)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in size])), pa.array(np.repeat([h for *_, h, _ in parts], size).astype(np.int16))], names=["shingle", "key", "n", "at", "hub"])
 
-    return docs.mapInArrow(run, "shingle long, key long, n int, at int")
+    return docs.mapInArrow(run, "shingle long, key long, n int, at int, hub short")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,6 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 _FIT = "4 * least(na, nb) >= 3 * greatest(na, nb) and 7 * (1 + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)"
+_SKETCHES = "7 * (" + " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _BITS) + ") <= na + nb"
 _REST = "7 * (c + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)"
 
 
@@ -202,18 +221,25 @@ def link_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     described = durable(_describe(docs))
     ids = described.where("n >= 0").select("doc_id", "n", "key")
+    sketches = durable(described.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in _BITS)))
+    side = lambda x: sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in _BITS))
     counted = described.where("n < 0").select(F.explode(F.arrays_zip("common", "counts")).alias("x")).groupBy("x.common").agg(F.sum("x.counts").alias("c"))
     late = counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "common").limit(MOST_FREQUENT).toPandas()["common"].to_numpy(np.int64).astype(np.uint64)
     by_size = Window.partitionBy("shingle").orderBy("n", "key")
     posted = _postings(docs, np.sort(late)).repartition("shingle")
     posted = posted.select("*", *(F.lag(c).over(by_size).alias(f"b_{c}") for c in ("key", "n", "at")), F.lead("key").over(by_size).alias("next"))
+    posted = posted.withColumn("hub", F.max(F.struct("hub", "key", "n", "at")).over(Window.partitionBy("shingle")))
     shared = written(posted.where("b_key <> key or next <> key").drop("next"))  # buckets of one class are gone
     release(docs.sparkSession)
-    near = shared.where("b_key <> key").select("shingle", F.col("key").alias("a"), F.col("b_key").alias("b"), F.col("n").alias("na"), F.col("b_n").alias("nb"), F.col("at").alias("pa"), F.col("b_at").alias("pb")).where(_FIT)
-    pick = F.struct("b", "nb")
-    # most promising neighbour: the one met in most buckets, if so many could do; a choice of order, as the rest follows below
+    beside, hub = F.struct(F.col("b_key").alias("b"), F.col("b_n").alias("nb"), F.col("b_at").alias("pb")), F.struct(F.col("hub.key").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.at").alias("pb"))
+    others = F.array(beside, F.when(F.col("hub.key") != F.coalesce("b_key", "key"), hub))
+    near = shared.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.explode(others).alias("x")).select("a", "na", "pa", "x.*").where("a <> b").where(_FIT)
     near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")).where(_REST)
-    near = near.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("c", "b")).alias("x")).select("a", "x.b", "na", "x.nb")
+    near = near.join(side("a"), "a").join(side("b"), "b").where(_SKETCHES)
+    # most promising neighbours: those least apart by their sketches; a choice of order, as the rest follows below
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS), F.lit(0))
+    nearest = Window.partitionBy("a").orderBy(apart / (F.col("na") + F.col("nb")), F.desc("c"), "b")
+    near = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= FIRST).select("a", "b", "na", "nb")
     texts = ids.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("all")).where("a <> b")
     same = texts.select("a", F.explode("all").alias("b"))  # one id with several texts
     first = durable(verify(docs, ids, durable(near)).unionByName(same))
@@ -222,10 +248,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     rooted = shared.select("shingle", "key", "n", "at").distinct().join(root, "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     split = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rooted = written(rooted.join(split, "shingle", "left_semi"))
-    a = rooted.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"))
-    b = rooted.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("root").alias("rb"))
-    cross = a.join(b, "shingle").where("ra < rb").where(_FIT).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    rooted = written(rooted.join(split, "shingle", "left_semi").join(sketches, "key"))
+    a, b = (rooted.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("root").alias(f"r{x}"), *(F.col(c).alias(f"{x}_{c}") for c in _BITS)) for x in "ab")
+    cross = a.join(b, "shingle").where("ra < rb").where(_FIT).where(_SKETCHES).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # all that two prefixes share is counted; what is left can't share more than the shorter rest
     cross = durable(cross.where(_REST).select("a", "b", "na", "nb"))
     release(docs.sparkSession)
