@@ -13,7 +13,8 @@ link between different texts is thus either verified or lies within one componen
 
 The bounds are exact: sizes, positions, and a parity sketch. Its bit i tells if a set has an odd number of shingles that
 hash to i, so two sets differ in at least as many shingles as their sketches differ in bits; linked sets differ in at most a
-seventh of their sizes' sum. It rejects most pairs of up to some 600 shingles; for larger sets it saturates and rejects none.
+seventh of their sizes' sum. The short sketch rejects most pairs of up to some 600 shingles; larger sets also have a wide
+one, of as many bits as shingles or up to twice that, which is compared before the texts are read again.
 
 Null and empty texts have an empty set and no link: their component is their own id. Rows with one doc_id and several texts
 are one node. Null ids are kept; they never name a component. Repeated rows stay; an empty table gives an empty result; only
@@ -92,21 +93,31 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_sketch_of(s: np.ndarray) -> np.ndarray | None:
+    """The parity sketch of a large set, in a power of two of 64-bit numbers; its halves' exclusive or is that of half the width."""
+    if len(s) <= 64 * SKETCH:
+        return None
+    width = 1 << (len(s) - 1).bit_length()
+    odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, sketch) of every row, and rows without these that hold shingles seen repeatedly with their counts."""
+    """(doc_id, n, key, sketches) of every row, and rows without these that hold shingles seen repeatedly with their counts."""
 
     def run(batches):
         for b in batches:
-            sizes, keys, own, sketches = [], [], {}, []
+            sizes, keys, own, sketches, wide = [], [], {}, [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 sizes.append(len(s))
                 keys.append(key_of(s) if len(s) else None)
                 sketches.append(sketch_of(s))
+                wide.append(wide_sketch_of(s))
                 if len(s):
                     own[keys[-1]] = s
             common, count = np.unique(np.concatenate(list(own.values())), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -114,11 +125,11 @@ def _describe(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.int64())
             bits = np.array([*sketches, np.zeros(SKETCH, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)]), pa.array([*sizes, -1], pa.int64()), pa.array([*keys, None], pa.int64()), *map(pa.array, bits.T.copy()), pa.array([None] * len(sizes) + [common[keep].astype(np.int64)], kind), pa.array([None] * len(sizes) + [count[keep]], kind)],
-                names=["doc_id", "n", "key", *_BITS, "common", "counts"],
+                [pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)]), pa.array([*sizes, -1], pa.int64()), pa.array([*keys, None], pa.int64()), *map(pa.array, bits.T.copy()), pa.array([*wide, None], kind), pa.array([None] * len(sizes) + [common[keep].astype(np.int64)], kind), pa.array([None] * len(sizes) + [count[keep]], kind)],
+                names=["doc_id", "n", "key", *_BITS, "wide", "common", "counts"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key long, {', '.join(f'{c} long' for c in _BITS)}, common array<long>, counts array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key long, {', '.join(f'{c} long' for c in _BITS)}, wide array<long>, common array<long>, counts array<long>")
 
 
 def _postings(docs: DataFrame, late: np.ndarray) -> DataFrame:
@@ -192,6 +203,17 @@ def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k")).where("100 * k >= 75 * (na + nb - k)").select("a", "b")
 
 
+def close(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, na, nb) without those whose wide sketches (key, wide) tell that they can't be linked."""
+    large = pairs.where(F.least("na", "nb") > 64 * SKETCH)
+    both = large.join(wide.select(F.col("key").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("key").alias("b"), F.col("wide").alias("y")), "b")
+    # sizes of linked sets are within 4 : 3, so the widths are the same or one is twice the other
+    half = lambda v: f"zip_with(slice({v}, 1, size({v}) div 2), slice({v}, size({v}) div 2 + 1, size({v}) div 2), (p, q) -> p ^ q)"
+    both = both.withColumn("x2", F.expr(f"if(size(x) > size(y), {half('x')}, x)")).withColumn("y2", F.expr(f"if(size(y) > size(x), {half('y')}, y)"))
+    kept = both.where("7 * aggregate(zip_with(x2, y2, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k) <= na + nb")
+    return kept.select(*pairs.columns).unionByName(pairs.where(F.least("na", "nb") <= 64 * SKETCH))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every node of ``edges`` (a, b), by alternating large and small stars; root is the least key."""
     e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -222,6 +244,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     described = durable(_describe(docs))
     ids = described.where("n >= 0").select("doc_id", "n", "key")
     sketches = durable(described.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in _BITS)))
+    wide = described.where("wide is not null").groupBy("key").agg(F.first("wide").alias("wide"))
     side = lambda x: sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in _BITS))
     counted = described.where("n < 0").select(F.explode(F.arrays_zip("common", "counts")).alias("x")).groupBy("x.common").agg(F.sum("x.counts").alias("c"))
     late = counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "common").limit(MOST_FREQUENT).toPandas()["common"].to_numpy(np.int64).astype(np.uint64)
@@ -233,7 +256,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     beside, hub = F.struct(F.col("b_key").alias("b"), F.col("b_n").alias("nb"), F.col("b_at").alias("pb")), F.struct(F.col("hub.key").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.at").alias("pb"))
     others = F.array(beside, F.when(F.col("hub.key") != F.coalesce("b_key", "key"), hub))
-    near = shared.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.explode(others).alias("x")).select("a", "na", "pa", "x.*").where("a <> b").where(_FIT)
+    near = shared.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.explode(others).alias("x")).select("a", "na", "pa", "x.*").where("a <> b").where(_FIT).repartition("a")
     near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")).where(_REST)
     near = near.join(side("a"), "a").join(side("b"), "b").where(_SKETCHES)
     # most promising neighbours: those least apart by their sketches; a choice of order, as the rest follows below
@@ -242,7 +265,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     near = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= FIRST).select("a", "b", "na", "nb")
     texts = ids.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("all")).where("a <> b")
     same = texts.select("a", F.explode("all").alias("b"))  # one id with several texts
-    first = durable(verify(docs, ids, durable(near)).unionByName(same))
+    first = durable(verify(docs, ids, durable(close(durable(near), wide))).unionByName(same))
     release(docs.sparkSession)
     root = durable(components(first))
     release(docs.sparkSession)
@@ -252,7 +275,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     a, b = (rooted.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("root").alias(f"r{x}"), *(F.col(c).alias(f"{x}_{c}") for c in _BITS)) for x in "ab")
     cross = a.join(b, "shingle").where("ra < rb").where(_FIT).where(_SKETCHES).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # all that two prefixes share is counted; what is left can't share more than the shorter rest
-    cross = durable(cross.where(_REST).select("a", "b", "na", "nb"))
+    cross = durable(close(durable(cross.where(_REST).select("a", "b", "na", "nb")), wide))
     release(docs.sparkSession)
     if not cross.isEmpty():
         root = durable(components(first.unionByName(verify(docs, ids, cross))))

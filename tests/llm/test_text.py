@@ -75,6 +75,24 @@ def test_jaccard_against_all_pairs(spark):
     assert got == {d: (len(sets[d]), root[d]) for d in sets}
 
 
+def test_sketches_bound_the_difference(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pairs, sketches, linked = [], [], set()
+    for i, (n, drop, new) in enumerate([(600, 20, 20), (1000, 60, 100), (1030, 30, 0), (1030, 200, 5), (4000, 0, 500), (4000, 1600, 1600), (2100, 2000, 2000)]):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 1 << 64, new, np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in ngram_join.sketch_of(a) ^ ngram_join.sketch_of(b)) <= apart
+        pairs.append((2 * i, 2 * i + 1, len(a), len(b)))
+        sketches += [(2 * i, ngram_join.wide_sketch_of(a).tolist()), (2 * i + 1, ngram_join.wide_sketch_of(b).tolist())]
+        if 7 * apart <= len(a) + len(b):
+            linked.add(2 * i)
+    kept = {r.a for r in ngram_join.close(spark.createDataFrame(pairs, "a long, b long, na long, nb long"), spark.createDataFrame(sketches, "key long, wide array<long>")).collect()}
+    assert linked <= kept and 0 < len(linked) < len(pairs) and not kept & {10, 12}
+
+
 def test_flac():
     payloads = [flac.payload_of(t)[0] for t in (None, "", "é" * 1000, "x" * 576, "Some text, with words. " * 99)]
     streams = flac.encode(payloads)
