@@ -10,7 +10,7 @@ characters, half of them toxic where there are as many. The first passes give ev
 train on the highest window of each text, as scoring does. The seed is fixed, the sample is chosen by hash.
 
 Null and empty texts have no words and are scored as a window without words. Labels of null, ids of null and texts of null
-aren't learned from; a doc_id labelled twice takes its higher label. With no label to learn from every score is 0.
+aren't learned from; a doc_id labelled twice takes its higher label, one with several texts its least. With no label to learn from every score is 0.
 Repeated rows stay; an empty table gives an empty result.
 """
 
@@ -232,11 +232,16 @@ def train(texts: list[str], labels: list[int], passes: int = PASSES, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS):
     """The model learned from (doc_id, text) and (doc_id, toxic); None without a label."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).join(marks, "doc_id")
-    taken = []
-    for mark in (1, 0):
-        taken += rows.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample // 2).collect()
-    return train([r.text for r in taken], [r.toxic for r in taken]) if taken else None
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    # the ids are chosen without their texts; the texts of at most ``sample`` ids are read afterwards
+    known = marks.join(rows.select("doc_id"), "doc_id", "left_semi").withColumn("spot", F.xxhash64("doc_id"))
+    chosen = [r for mark in (1, 0) for r in known.where(F.col("toxic") == mark).orderBy("spot", "doc_id").limit(sample // 2).collect()]
+    if not chosen:
+        return None
+    ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in chosen], f"doc_id {dict(docs.dtypes)['doc_id']}")
+    texts = dict(rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect())
+    taken = [r for r in chosen if r.doc_id in texts]
+    return train([texts[r.doc_id] for r in taken], [r.toxic for r in taken]) if taken else None
 
 
 def _text_scores(model, column: pa.Array) -> np.ndarray:
