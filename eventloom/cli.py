@@ -1,4 +1,4 @@
-"""Command line: demo, info, communities, compare, stability."""
+"""Command line: demo, info, communities, compare, stability, serve."""
 
 from __future__ import annotations
 
@@ -38,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--resamples", type=int, default=40)
             s.add_argument("--fraction", type=float, default=0.8)
             s.add_argument("--seeds", type=int, default=5)
+    serve = sub.add_parser("serve")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
     return p
 
 
@@ -45,7 +48,7 @@ def _run(o) -> None:
     from pyspark.sql import SparkSession
 
     from eventloom.operators.subspace import split_markers
-    from eventloom.plans import pipeline
+    from eventloom.plans import pipeline, report
     from eventloom.sources import fcs, synth
 
     if o.command == "demo":
@@ -53,6 +56,11 @@ def _run(o) -> None:
             print(f"{name}: {n}")
         return
     spark = SparkSession.builder.appName("eventloom").getOrCreate()
+    if o.command == "serve":
+        from eventloom.service import make_server
+
+        make_server(spark, o.host, o.port).serve_forever()
+        return
     if o.command == "info":
         file = fcs.read_fcs(spark, o.path)
         channels = [{"index": c.index, "name": c.name, "stain": c.stain, "bits": c.bits, "log": c.is_log, "range": c.range} for c in file.layout.channels]
@@ -69,9 +77,12 @@ def _run(o) -> None:
             import numpy as np
 
             np.save(o.labels, result.labels.orderBy("event_id").toPandas()["community"].to_numpy())
-    if o.json or o.command != "communities":
+    if o.json:
         print(json.dumps(found, indent=2))
         return
+    if o.command != "communities":
+        print(report.comparison(found) if o.command == "compare" else report.stability(found))
+        return
     print(f"{found['n_communities']} communities over {found['n_events']} events ({found['graph']['n_edges']} edges, quality {found['quality']:.1f})")
     for c, n in found["sizes"].items():
         print(f"  {'unassigned' if c == '-1' else c}: {n} ({n / found['n_events']:.1%})")

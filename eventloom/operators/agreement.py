@@ -11,20 +11,37 @@ from pyspark.sql import functions as F
 RELIABLE, QUALIFIED, CORE, RECOVERED = 0.75, 0.5, 0.8, 0.75
 
 
+def _runs(df: DataFrame) -> list[str]:
+    return ["run_id"] if "run_id" in df.columns else []
+
+
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(ref, cand, n) of two labellings (event_id, label) on their shared events."""
-    both = a.select("event_id", F.col("label").alias("ref")).join(b.select("event_id", F.col("label").alias("cand")), "event_id")
-    return both.groupBy("ref", "cand").agg(F.count("*").alias("n"))
+    """(ref, cand, n) of two labellings (event_id, label) on their shared events; run by run where ``b`` has a run_id."""
+    by = _runs(b)
+    both = a.select("event_id", F.col("label").alias("ref")).join(b.select(*by, "event_id", F.col("label").alias("cand")), "event_id")
+    return both.groupBy(*by, "ref", "cand").agg(F.count("*").alias("n"))
 
 
 def adjusted_rand(table: DataFrame) -> DataFrame:
-    """One row: the adjusted Rand index of a contingency table."""
-    squares = lambda c, name: table.groupBy(c).agg(F.sum("n").alias("s")).agg(F.sum(F.col("s") * F.col("s")).cast("double").alias(name))
-    cells = table.agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("c"), F.sum("n").cast("double").alias("t"))
-    x = cells.crossJoin(squares("ref", "a")).crossJoin(squares("cand", "b"))
+    """The adjusted Rand index of a contingency table: one row, or one a run."""
+    by = _runs(table)
+    squares = lambda c, name: table.groupBy(*by, c).agg(F.sum("n").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).cast("double").alias(name))
+    x = table.groupBy(*by).agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("c"), F.sum("n").cast("double").alias("t"))
+    for side in (squares("ref", "a"), squares("cand", "b")):
+        x = x.join(side, by) if by else x.crossJoin(side)  # one row each without runs
     tp, fp, fn = F.col("c") - F.col("t"), F.col("b") - F.col("c"), F.col("a") - F.col("c")
     tn = F.col("t") * F.col("t") - fp - fn - F.col("c")
-    return x.select(F.when((fp == 0) & (fn == 0), 1.0).otherwise(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))).alias("ari"))
+    return x.select(*by, F.when((fp == 0) & (fn == 0), 1.0).otherwise(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))).alias("ari"))
+
+
+def best_jaccard(table: DataFrame) -> DataFrame:
+    """(run_id, community, jaccard, cand): the best match of each reference community in each run, the lowest id at ties."""
+    a = table.groupBy("run_id", "ref").agg(F.sum("n").alias("na"))
+    b = table.where("cand >= 0").groupBy("run_id", "cand").agg(F.sum("n").alias("nb"))
+    j = table.join(a, ["run_id", "ref"]).join(b, ["run_id", "cand"]).where("ref >= 0")
+    j = j.select("run_id", F.col("ref").alias("community"), "cand", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
+    first = F.max_by(F.struct("jaccard", "cand"), F.struct("jaccard", -F.col("cand")))
+    return j.groupBy("run_id", "community").agg(first.alias("m")).select("run_id", "community", "m.jaccard", "m.cand")
 
 
 def _ami(t: pd.DataFrame) -> float:
@@ -44,7 +61,9 @@ def _ami(t: pd.DataFrame) -> float:
 
 
 def adjusted_mutual_info(table: DataFrame) -> DataFrame:
-    """One row: the adjusted mutual information (arithmetic mean); the table has a row a pair of communities."""
+    """The adjusted mutual information (arithmetic mean): one row, or one a run; the table has a row a pair of communities."""
+    if _runs(table):
+        return table.groupBy("run_id").applyInPandas(lambda t: pd.DataFrame({"run_id": [t.run_id.iloc[0]], "ami": [_ami(t)]}), "run_id long, ami double")
     return table.groupBy().applyInPandas(lambda t: pd.DataFrame({"ami": [_ami(t)]}), "ami double")
 
 

@@ -174,13 +174,14 @@ def quality(edges: DataFrame, labels: DataFrame, *, resolution: float = 1.0, obj
 
 
 def relabel(raw: DataFrame, min_size: int = 10) -> DataFrame:
-    """(event_id, community) of (event_id, raw): by size, then by first member; small ones are -1."""
+    """(event_id, community) of (event_id, raw): by size, then by first member; small ones are -1. With a run_id column, run by run."""
     if min_size < 1:
         raise ConfigurationError("min_size must be at least 1")
-    groups = raw.groupBy("raw").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    order = Window.orderBy(F.desc("n"), "first")  # over one row a community
-    names = groups.select("raw", F.when(F.col("n") < min_size, UNASSIGNED).otherwise(F.row_number().over(order) - 1).alias("community"))
-    return raw.join(names, "raw").select("event_id", F.col("community").cast("int").alias("community"))
+    by = ["run_id"] if "run_id" in raw.columns else []
+    groups = raw.groupBy(*by, "raw").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "first")  # over one row a community
+    names = groups.select(*by, "raw", F.when(F.col("n") < min_size, UNASSIGNED).otherwise(F.row_number().over(order) - 1).alias("community"))
+    return raw.join(names, [*by, "raw"]).select(*by, "event_id", F.col("community").cast("int").alias("community"))
 
 
 def sizes(labels: DataFrame) -> DataFrame:

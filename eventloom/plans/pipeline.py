@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from eventloom.errors import CommunityNotFound, ConfigurationError, InsufficientData
 from eventloom.operators import agreement, communities, compare, graph
 from eventloom.operators.subspace import dense, require_events, resolve_all, select_subspace, subset
+from eventloom.plans.lineage import cut
 from eventloom.provenance import Provenance
 from eventloom.sources.fcs import FCSFile, read_fcs
 
 
+EFFECT_NOTE = "Cliff's delta is the chance that a value of A exceeds one of B less the chance of the reverse; its interval is a bootstrap over events."
+CIRCULAR_NOTE = "Markers with * were used for clustering: their rows are descriptive and have no p-value."
+
+
 @dataclass(frozen=True)
 class CommunityConfig:
     markers: tuple[str, ...]
@@ -36,6 +41,39 @@ class CommunityConfig:
         return {**asdict(self), "markers": list(self.markers)}
 
 
+@dataclass
+class Partition:
+    """Communities of a graph's events: raw labels, and labels by size with -1 for events of small communities."""
+
+    edges: DataFrame
+    raw: DataFrame
+    labels: DataFrame
+    resolution: float = 1.0
+    seed: int = 0
+    objective: str = "modularity"
+
+    def sizes(self) -> dict[int, int]:
+        """Events of each community, by id, the unassigned last."""
+        found = {r.community: r.n for r in communities.sizes(self.labels).collect()}  # a row a community
+        return {c: found[c] for c in sorted(found, key=lambda c: (c < 0, c))}
+
+    def ids(self) -> tuple[int, ...]:
+        return tuple(c for c in self.sizes() if c != communities.UNASSIGNED)
+
+    def n_communities(self) -> int:
+        return len(self.ids())
+
+    def n_unassigned(self) -> int:
+        return self.sizes().get(communities.UNASSIGNED, 0)
+
+    def members(self, community: int) -> DataFrame:
+        return communities.members(self.labels, community)
+
+    def quality(self) -> float:
+        named = self.raw.select("event_id", F.col("raw").alias("community"))
+        return communities.quality(self.edges, named, resolution=self.resolution, objective=self.objective).first()["quality"]
+
+
 @dataclass
 class CommunityResult:
     config: CommunityConfig
@@ -48,12 +86,15 @@ class CommunityResult:
     labels: DataFrame
     notes: list[str] = field(default_factory=list)
 
+    @property
+    def partition(self) -> Partition:
+        return Partition(self.edges, self.raw, self.labels, self.config.resolution, self.config.seed, self.config.objective)
+
     def sizes(self) -> dict[int, int]:
-        found = {r.community: r.n for r in communities.sizes(self.labels).collect()}  # a row a community
-        return {c: found[c] for c in sorted(found, key=lambda c: (c < 0, c))}
+        return self.partition.sizes()
 
     def quality(self) -> float:
-        return communities.quality(self.edges, self.raw.select("event_id", F.col("raw").alias("community")), resolution=self.config.resolution, objective=self.config.objective).first()["quality"]
+        return self.partition.quality()
 
     def to_dict(self) -> dict:
         n, sizes = self.space.count(), self.sizes()
@@ -61,18 +102,26 @@ class CommunityResult:
         return {"n_events": n, "n_communities": sum(c >= 0 for c in sizes), "sizes": {str(c): s for c, s in sizes.items()}, "quality": self.quality(), "objective": self.config.objective, "resolution": self.config.resolution, "seed": self.config.seed, "provenance": self.provenance.to_dict(), "config": self.config.to_dict(), "graph": stats}
 
 
+def detect_communities(edges: DataFrame, events: DataFrame, *, resolution: float = 1.0, seed: int = 0, objective: str = "modularity", n_iterations: int = 5, min_size: int = 10) -> Partition:
+    """The communities of one graph: edges (src, dst, w) over events (event_id)."""
+    one = lambda d: d.select(F.lit(0).cast("long").alias("run_id"), "*")
+    raw = communities.detect(one(edges), one(events.select("event_id")), resolution=resolution, seed=seed, objective=objective, n_iterations=n_iterations).drop("run_id")
+    raw = cut(raw)
+    return Partition(edges, raw, communities.relabel(raw, min_size), resolution, seed, objective)
+
+
 def partition(space: DataFrame, config: CommunityConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, raw labels, labels) of a subspace."""
-    edges = graph.build_graph(space, k=config.k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below).persist()
-    one = lambda d: d.select(F.lit(0).cast("long").alias("run_id"), "*")
-    raw = communities.detect(one(edges), one(space.select("event_id")), resolution=config.resolution, seed=config.seed, objective=config.objective).drop("run_id").persist()
-    return edges, raw, communities.relabel(raw, config.min_size)
+    edges = graph.build_graph(space, k=config.k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below)
+    edges = cut(edges)
+    found = detect_communities(edges, space, resolution=config.resolution, seed=config.seed, objective=config.objective, min_size=config.min_size)
+    return edges, found.raw, found.labels
 
 
 def cluster(events: DataFrame, channels: list[tuple[str, str | None]], config: CommunityConfig, provenance: Provenance) -> CommunityResult:
     require_events(events)
     names = resolve_all(config.markers, channels)
-    space = select_subspace(events, names, transform=config.transform, cofactor=config.cofactor, scaling=config.scaling).persist()
+    space = cut(select_subspace(events, names, transform=config.transform, cofactor=config.cofactor, scaling=config.scaling))
     edges, raw, labels = partition(space, config)
     return CommunityResult(config, provenance.derive(**config.to_dict()), events, channels, space, edges, raw, labels)
 
@@ -110,16 +159,26 @@ def compare_communities(result: CommunityResult, a: int, b: int, *, markers=None
     space = select_subspace(result.events, names, transform=result.config.transform, cofactor=result.config.cofactor, scaling="none")
     rows = _long(space, names, result.labels, a, b).persist()
     table = compare.cliffs_delta(rows).join(compare.bootstrap_ci(rows, n_bootstrap, seed), "marker") if n_bootstrap > 0 else compare.cliffs_delta(rows).select("*", F.lit(float("nan")).alias("ci_low"), F.lit(float("nan")).alias("ci_high"))
-    found = {r.marker: r.asDict() | {"magnitude": r.mag} for r in table.withColumn("mag", compare.magnitude(F.col("delta"))).collect()}
+    found = {r.marker: r.asDict() for r in table.withColumn("magnitude", compare.magnitude(F.col("delta"))).collect()}
     for r in compare.medians(rows).collect():
         found[r.marker] |= {f"median_{r.side}": r.median, f"mad_{r.side}": r.mad}
-    notes, tests = [], {}
+    notes, tests = [EFFECT_NOTE, CIRCULAR_NOTE], {}
     if inference == "split":
-        tests, notes = _split(result, a, b, [n for n in names if n not in used], space, names, n_permutations, seed)
+        tests, more = _split(result, a, b, [n for n in names if n not in used], space, names, n_permutations, seed)
+        notes += more
+    else:
+        notes.append("No p-values were asked for: a test on the events that were clustered is circular; split inference tests other markers.")
+    if used.issuperset(names):
+        notes.append("All markers compared were used for clustering: their differences restate the clustering.")
     side = lambda c: compare.thin(graph.vectors(space).join(result.labels.where(F.col("community") == c).select("event_id"), "event_id"), max_pairs, seed)
     energy = compare.energy_distance(side(a), side(b)).first()["energy"]
-    listed = [found[n] | {"marker": n, "cliffs_delta": found[n]["delta"], "used_for_clustering": n in used, "p_value": tests.get(n, (None, None))[0], "q_value": tests.get(n, (None, None))[1]} for n in names]
-    return {"community_a": a, "community_b": b, "n_a": sizes[a], "n_b": sizes[b], "energy_distance": energy, "inference": inference, "markers": sorted(listed, key=lambda m: -abs(m["delta"])), "notes": notes, "provenance": result.provenance.derive(comparison_seed=seed, comparison_inference=inference).to_dict()}
+    shown = ("median_a", "median_b", "mad_a", "mad_b", "cliffs_delta", "ci_low", "ci_high", "magnitude")
+    listed = []
+    for n in names:
+        row = found[n] | {"cliffs_delta": found[n]["delta"]}
+        p, q = tests.get(n, (None, None))
+        listed.append({"marker": n, **{c: row[c] for c in shown}, "used_for_clustering": n in used, "p_value": p, "q_value": q})
+    return {"community_a": a, "community_b": b, "n_a": sizes[a], "n_b": sizes[b], "energy_distance": energy, "inference": inference, "markers": sorted(listed, key=lambda m: -abs(m["cliffs_delta"])), "notes": notes, "provenance": result.provenance.derive(comparison_seed=seed, comparison_inference=inference).to_dict()}
 
 
 def _split(result, a, b, testable, space, names, n_permutations, seed, least: float = 0.5):
@@ -149,7 +208,11 @@ def _split(result, a, b, testable, space, names, n_permutations, seed, least: fl
 
 
 def assess_stability(result: CommunityResult, *, n_resamples: int = 40, subsample_fraction: float = 0.8, n_seeds: int = 5, k_values=None, resolutions=None, seed: int = 0) -> dict:
-    """Evidence from subsamples, seeds and parameters. All clusterings of one kind run as one Spark job, a task each."""
+    """Evidence from subsamples, seeds and parameters.
+
+    Each subsample needs a graph of its own; its edges are checkpointed. All clusterings of one kind then run in
+    one job, a task each, and the evidence is aggregated by run: the number of jobs and plans after that doesn't grow with the runs.
+    """
     if not 0.1 <= subsample_fraction < 1:
         raise ConfigurationError("subsample_fraction must be within 0.1 and 1")
     if n_resamples < 2:
@@ -157,52 +220,56 @@ def assess_stability(result: CommunityResult, *, n_resamples: int = 40, subsampl
     config, n = result.config, result.space.count()
     take = max(config.k + 1, round(subsample_fraction * n))
     spark = result.space.sparkSession
-    runs, edges, drawn = [], None, None
+    reference = cut(result.labels.select("event_id", F.col("community").alias("label")))
+    edges, drawn = None, None
     for r in range(n_resamples):
-        sample = draw(result.space.select("event_id"), seed * 1_000_003 + r, take)
-        part = result.space.join(sample, "event_id", "left_semi")
-        e = graph.build_graph(part, k=config.k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below)
-        e, d = (x.select(F.lit(r).cast("long").alias("run_id"), "*") for x in (e, sample))
+        run = F.lit(r).cast("long").alias("run_id")
+        d = cut(draw(result.space.select("event_id"), seed * 1_000_003 + r, take).select(run, "event_id"))
+        part = result.space.join(d.select("event_id"), "event_id", "left_semi")
+        e = cut(graph.build_graph(part, k=config.k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below).select(run, "*"))
         edges, drawn = (e, d) if edges is None else (edges.unionByName(e), drawn.unionByName(d))
-    raw = communities.detect(edges, drawn, resolution=config.resolution, seed=config.seed, objective=config.objective).persist()
-    reference = result.labels.select("event_id", F.col("community").alias("label")).persist()
-    ari, ami, matches, hits = [], [], None, None
-    for r in range(n_resamples):
-        found = communities.relabel(raw.where(F.col("run_id") == r), config.min_size).select("event_id", F.col("community").alias("label"))
-        table = agreement.contingency(reference, found).persist()
-        ari.append(agreement.adjusted_rand(table).first()[0])
-        ami.append(agreement.adjusted_mutual_info(table).first()[0])
-        a = table.groupBy("ref").agg(F.sum("n").alias("na"))
-        b = table.where("cand >= 0").groupBy("cand").agg(F.sum("n").alias("nb"))
-        j = table.join(a, "ref").join(b, "cand").where("ref >= 0").select(F.col("ref").alias("community"), "cand", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
-        best = j.groupBy("community").agg(F.max_by(F.struct("jaccard", "cand"), F.struct("jaccard", -F.col("cand"))).alias("m")).select("community", "m.jaccard", "m.cand")
-        every = reference.where("label >= 0").select(F.col("label").alias("community")).distinct()
-        best = every.join(best, "community", "left").select(F.lit(r).alias("run_id"), "community", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"), "cand")
-        own = reference.join(found.select("event_id", F.col("label").alias("got")), "event_id").join(best.select(F.col("community").alias("label"), "cand"), "label", "left")
-        own = own.select("event_id", F.col("label").alias("community"), F.coalesce((F.col("label") >= 0) & (F.col("got") == F.col("cand")), F.lit(False)).alias("hit"))
-        matches, hits = (best, own) if matches is None else (matches.unionByName(best), hits.unionByName(own))
-    cores = reference.join(agreement.core_scores(hits), "event_id", "left").select("event_id", F.col("label").alias("community"), F.coalesce("core", F.lit(-1.0)).alias("core")).persist()
-    per = [r.asDict() for r in agreement.summary(matches, cores.where("community >= 0 and core >= 0")).orderBy("community").collect()]
-    again = spark.range(n_seeds).select(F.col("id").alias("run_id"), (F.col("id") + config.seed + 1).alias("seed"))
-    seeds = _many(result.edges, result.space, again, config.resolution, config)
-    seed_ari = [agreement.adjusted_rand(agreement.contingency(reference, communities.relabel(seeds.where(F.col("run_id") == s), config.min_size).select("event_id", F.col("community").alias("label")))).first()[0] for s in range(n_seeds)]
+    raw = communities.detect(edges, drawn, resolution=config.resolution, seed=config.seed, objective=config.objective)
+    found, table = _against(reference, raw, config)
+    best = agreement.best_jaccard(table)
+    runs = F.broadcast(spark.range(n_resamples).select(F.col("id").alias("run_id")))
+    every = reference.where("label >= 0").select(F.col("label").alias("community")).distinct().crossJoin(runs)
+    matches = cut(every.join(best, ["run_id", "community"], "left").select("run_id", "community", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"), "cand"))
+    own = reference.join(found.withColumnRenamed("label", "got"), "event_id").join(matches.select("run_id", F.col("community").alias("label"), "cand"), ["run_id", "label"], "left")
+    hits = own.select("event_id", F.col("label").alias("community"), F.coalesce((F.col("label") >= 0) & (F.col("got") == F.col("cand")), F.lit(False)).alias("hit"))
+    cores = cut(reference.join(agreement.core_scores(hits), "event_id", "left").select("event_id", F.col("label").alias("community"), F.coalesce("core", F.lit(-1.0)).alias("core")))
+    ari = [r.ari for r in agreement.adjusted_rand(table).collect()]  # a row a run
+    ami = [r.ami for r in agreement.adjusted_mutual_info(table).collect()]
+    rows = agreement.summary(matches, cores.where("community >= 0 and core >= 0")).withColumnsRenamed({"low_jaccard": "p05_jaccard", "recovery": "recovery_rate"})
+    per = [r.asDict() for r in rows.orderBy("community").collect()]  # a row a community
+    boundary = agreement.boundary_fraction(cores).first()[0]
+    seed_ari = []
+    if n_seeds:
+        again = spark.range(n_seeds).select(F.col("id").alias("run_id"), (F.col("id") + config.seed + 1).alias("seed"))
+        found, table = _against(reference, _many(result.edges, result.space, again, config.resolution, config), config)
+        seed_ari = [r.ari for r in agreement.adjusted_rand(table).orderBy("run_id").collect()]
     sweep, grid = [], list(resolutions or agreement.resolution_grid(config.resolution))
+    jobs = spark.createDataFrame([(i, float(g)) for i, g in enumerate(grid)], "run_id long, resolution double").withColumn("seed", F.lit(config.seed))
     for k in k_values or agreement.k_grid(config.k):
         if k >= n:
             continue
-        e = graph.build_graph(result.space, k=k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below).persist()
-        jobs = spark.createDataFrame([(i, float(g)) for i, g in enumerate(grid)], "run_id long, resolution double").withColumn("seed", F.lit(config.seed))
-        found = _many(e, result.space, jobs, config.resolution, config).persist()
-        for i, g in enumerate(grid):
-            labels = communities.relabel(found.where(F.col("run_id") == i), config.min_size).select("event_id", F.col("community").alias("label")).persist()
-            sweep.append({"k": k, "resolution": g, "n_communities": labels.where("label >= 0").select("label").distinct().count(), "ari": agreement.adjusted_rand(agreement.contingency(reference, labels)).first()[0]})
-    return {"reference_sizes": {str(c): s for c, s in result.sizes().items()}, "n_resamples": n_resamples, "subsample_fraction": subsample_fraction, "resample_ari": {"mean": sum(ari) / len(ari), "min": min(ari)}, "resample_ami": {"mean": sum(ami) / len(ami)}, "seed_ari": {"values": seed_ari, "min": min(seed_ari, default=None)}, "per_community": per, "boundary_fraction": agreement.boundary_fraction(cores).first()[0], "sweep": sweep, "config": config.to_dict()}
+        e = cut(graph.build_graph(result.space, k=k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below))
+        found, table = _against(reference, _many(e, result.space, jobs, config.resolution, config), config)
+        counts = {r.run_id: r.n for r in table.where("cand >= 0").groupBy("run_id").agg(F.countDistinct("cand").alias("n")).collect()}
+        agreed = {r.run_id: r.ari for r in agreement.adjusted_rand(table).collect()}
+        sweep += [{"k": k, "resolution": g, "n_communities": counts.get(i, 0), "ari_vs_reference": agreed[i]} for i, g in enumerate(grid)]
+    return {"reference_sizes": {str(c): s for c, s in result.sizes().items()}, "n_resamples": n_resamples, "subsample_fraction": subsample_fraction, "resample_ari": {"mean": sum(ari) / len(ari), "min": min(ari)}, "resample_ami": {"mean": sum(ami) / len(ami)}, "seed_ari": {"values": seed_ari, "min": min(seed_ari, default=None)}, "per_community": per, "boundary_fraction": boundary, "sweep": sweep, "config": config.to_dict()}
+
+
+def _against(reference: DataFrame, raw: DataFrame, config: CommunityConfig) -> tuple[DataFrame, DataFrame]:
+    """(labels by run, contingency with the reference by run) of raw clusterings by run."""
+    found = cut(communities.relabel(cut(raw), config.min_size).withColumnRenamed("community", "label"))
+    return found, cut(agreement.contingency(reference, found))
 
 
 def _many(edges: DataFrame, space: DataFrame, runs: DataFrame, resolution: float, config: CommunityConfig) -> DataFrame:
     """Clusterings of one graph by several (run_id, seed[, resolution]); a copy of the graph goes to each run's task."""
     few = F.broadcast(runs)
-    return communities.detect(edges.crossJoin(few.select("run_id")), space.select("event_id").crossJoin(few), resolution=resolution, seed=config.seed, objective=config.objective)
+    return communities.detect(edges.crossJoin(F.broadcast(runs.select((F.col("run_id") + 0).alias("run_id")))), space.select("event_id").crossJoin(few), resolution=resolution, seed=config.seed, objective=config.objective)
 
 
 def draw(ids: DataFrame, seed: int, take: int) -> DataFrame:
