@@ -1,8 +1,10 @@
 """Secret scans: patterns, and the guess cost of values in a credential context.
 
 The base kinds (assign, access, hex) are leftmost non-overlapping matches with a least length. The method adds ``guess``
-spans: values that follow a credential word (``password is ...``, ``login: ...``) whose guess cost is at least
-``MIN_GUESSES``. The cost is the cheapest segmentation of the value, found by dynamic programming over its places, into
+spans: values that follow a credential word (``password is ...``, ``login: ...``, ``secret = ...``) whose guess cost is at
+least ``MIN_GUESSES``. A value is the run of non-space characters, less closing punctuation, or what its quotes hold up to
+a space; a value that a base span covers only in part is a ``guess`` span as a whole. Only prose isn't costed: letters of
+one case and, where neither ``:`` nor ``=`` stands before, the marks that join or enclose words. The cost is the cheapest segmentation of the value, found by dynamic programming over its places, into
 dictionary words, dates, repeats, keyboard walks, alphabet sequences and brute-force spans.
 
 Null text counts as empty: no spans. Offsets are code points, the end exclusive. Repeated rows stay; an empty table gives
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,10 @@ from eventloom.llm.common import map_batches, table
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run's tail is shorter than the run: the same matches as AKIA[A-Z0-9]+ of 20+
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""\b(?:pass ?phrase|pwd|login|credentials?|private[ _]key|auth|(?:password|passwd|secret|token|api_?key)(?: is| was))["']?\s*(?:[:=]|\bis\b|\bwas\b|\s)\s*["']?([^\s"'<>,;]{6,})""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""(?:\b(?:pass ?phrase|pwd|login|credentials?|private[ _]key|auth|(?:password|passwd|secret|token|api_?key)(?: is| was))["']?\s*(?:[:=]|\bis\b|\bwas\b|\s)|(?:password|passwd|secret|token|api_?key)["']?\s*[:=])\s*(?=\S{6})""", re.ASCII | re.IGNORECASE)
+_SPACE = re.compile(r"\s|\Z", re.ASCII)
+_CLOSING, _BRACKETS = ".,;:!?)]}>\"'`", "()[]{}<>"
+_JOINTS = str.maketrans("", "", _BRACKETS + "\"'`’‘“”«»-–—/._,:;…")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = (*ASSIGN_WORDS, "phrase", "pwd", "login", "credential", "private", "auth")
 MIN_GUESSES = 10.0  # log10
@@ -83,6 +89,20 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _closing(text: str, quote: str, a: int, end: int) -> int:
+    """Place of the quote that closes a value, -1 if there is none before ``end``."""
+    b = text.find(quote, a, end)
+    while b > 0 and text[b - 1] == "\\":
+        b = text.find(quote, b + 1, end)
+    return b
+
+
+def _prose(value: str, loose: bool) -> bool:
+    """Prose is no secret: letters without digits, symbols or a change of case inside."""
+    value = value.translate(_JOINTS) if loose else value.strip(_BRACKETS)
+    return not any(c.isdigit() or category(c)[0] in "PS" for c in value) and not value[1:].lower() != value[1:] != value[1:].upper()
+
+
 def scan_text(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(base, all) spans as (start, kind, end), by start and kind."""
     if not text:
@@ -96,13 +116,28 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[
     base += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     more = []
     if any(w in low for w in CONTEXT_WORDS):
+        found, at = sorted(base), 0
+        end = stop = done = covered = 0  # ends: of the run of non-space characters, without its closing marks, of the last value found, of base spans
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            value = m[1].rstrip(".!?:)")
-            # prose is no secret: a value has a digit or mixes cases inside
-            odd = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or value[1:].lower() != value[1:] != value[1:].upper()
-            if len(value) >= 6 and odd and not any(a < e and s < b for s, _, e in base) and guess_cost(value) >= MIN_GUESSES:
-                more.append((a, "guess", a + len(value)))
+            a = m.end()
+            if a < done:
+                continue
+            if a >= end:
+                end = _SPACE.search(text, a).start()
+                stop = a + len(text[a:end].rstrip(_CLOSING))
+            quote = text[a] if text[a] in "\"'" else ""
+            a += len(quote)
+            b = _closing(text, quote, a, end) if quote else -1
+            if b < 0:
+                b = stop
+            while at < len(found) and found[at][0] <= a:
+                covered, at = max(covered, found[at][2]), at + 1
+            if b - a < 6 or b <= covered:
+                continue
+            value = text[a:b]
+            if not _prose(value, not any(c in ":=" for c in m[0])) and guess_cost(value) >= MIN_GUESSES:
+                more.append((a, "guess", b))
+                done = b
     order = lambda x: (x[0], KINDS[x[1]])
     return sorted(base, key=order), sorted(base + more, key=order)
 

@@ -174,3 +174,26 @@ def test_toxicity_learns():
 def test_redaction(spark, docs):
     rows = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert len(rows) == 1000 and all(not secrets.scan_text(r.text)[0] and r.n_chars == len(r.text) for r in rows.values())
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('secret = "q$7Kz!2vLw9#"', "q$7Kz!2vLw9#"), ("password=abcdef!Xy9$kqTz#8 and", "abcdef!Xy9$kqTz#8"), ("db_password: k#v,xq;z<wp.", "k#v,xq;z<wp"), ("pwd: k#v!xq$z%wp", "k#v!xq$z%wp"),
+        ("login is 8395317460527", "8395317460527"), ("login password: x9$Kq2!vLw7#", "x9$Kq2!vLw7#"), ('{"token":"k#v!xq\\"z%wp","n":1}', 'k#v!xq\\"z%wp'), ("pwd: x-0123456789abcdef01234567-Q!", "x-0123456789abcdef01234567-Q"),
+    ],
+)
+def test_whole_credential_values(spark, text, value):
+    assert [text[a:b] for a, k, b in secrets.scan_text(text)[1] if k == "guess"] == [value]
+    row = secrets.redact(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")).first()
+    assert value[-4:] not in row.text and row.n_chars == len(row.text)
+
+
+def test_guessable_values_and_prose_are_no_secrets():
+    for text in ("password: P@ss,w0", "pwd: 11111111111111", "login user-friendly (optional), and/or", "the secret is well-known.", "pwd: (optional)", "password: [secret]", "pwd: mandatory!", "credentials: पासवर्ड"):
+        assert [k for _, k, _ in secrets.scan_text(text)[1] if k == "guess"] == [], text
+
+
+def test_many_contexts_in_one_run():
+    text = "password=" * 50_000 + " " + "pwd:'a" * 50_000 + " token=abcdef" * 50_000
+    assert len(secrets.scan_text(text)[0]) == 50_001
