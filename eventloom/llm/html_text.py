@@ -6,6 +6,11 @@ bars, notices, adverts, forms, scripts, styles, reader comments) weigh nothing,
 between a surge (the sum rises over the threshold) and the next dive (it falls to it) is kept. With an article the threshold
 is 0, so that its short paragraphs stay; without one a lone short line is no main text.
 
+Names (class, id, role) only hint, as ``has-sidebar`` may stand on the wrapper of a whole page. So an element isn't excluded
+by its names where it holds a ``main`` element, nor, on a page whose articles all lie in such elements, where it holds one of
+the articles with the fewest of them around, if that gives more text; with names of what others write (comments, related
+texts, adverts) only if there is no other text. An open head ends where its content does: at any other element or at text.
+
 Null html counts as empty: text '' and n_chars 0. Broken markup never fails: an unclosed element ends with its parent.
 Repeated rows stay; an empty table gives an empty result; only page_id, url and html are read.
 """
@@ -30,46 +35,81 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUT = frozenset("nav header footer aside form menu dialog head label".split())
 #: Words of class, id and role names that mark what is not main text.
 _MARKS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget warning alert".split())
+#: Those of them whose articles are other texts than the page's.
+_OTHERS = frozenset("ad ads advert advertisement adverts comment comments consent cookie cookies disqus hidden modal popup promo promoted related replies reply sponsor sponsored".split())
+_HEAD = frozenset("base head link meta noscript script style template title".split())
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_WHOLE = ("html", "body", "article", "main")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
 def _excluded(tag: str, attrs: str) -> bool:
-    if tag in _OUT:
-        return True
-    if tag in ("html", "body", "article", "main") or not attrs:
-        return False
-    for m in _NAMED.finditer(attrs):
-        if any(w.lower() in _MARKS for w in _WORD.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return bool(_HIDDEN.search(attrs))
-
-
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """(text, weighs, in an article) of every line, and whether the page has an article."""
-    lines: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    return tag in _OUT or bool(attrs and tag not in _WHOLE and _HIDDEN.search(attrs))
+
+
+def _marks(tag: str, attrs: str) -> set[str]:
+    """What the names of an element say that it is, other than main text."""
+    if tag in _WHOLE or not attrs:
+        return set()
+    return {w.lower() for m in _NAMED.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} & _MARKS
+
+
+class Marked:
+    """Elements that are excluded by their names, each by its number and that of the next one around it; -1 is none."""
+
+    def __init__(self):
+        self.around: list[int] = []
+        self.others: list[bool] = []
+        self.lifted: list[bool] = []
+
+    def add(self, around: int, others: bool) -> int:
+        self.around.append(around)
+        self.others.append(others)
+        self.lifted.append(False)
+        return len(self.around) - 1
+
+    def lift(self, e: int) -> None:
+        while e >= 0 and not self.lifted[e]:
+            self.lifted[e], e = True, self.around[e]
+
+    def standing(self) -> list[tuple[bool, int]]:
+        """For every element, of it and those around it that stand: whether one holds others' texts, and their number; the last is that of -1."""
+        out = [(False, 0)] * (len(self.around) + 1)
+        for e, around in enumerate(self.around):
+            others, n = out[around]
+            out[e] = (others, n) if self.lifted[e] else (others or self.others[e], n + 1)
+        return out
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[tuple[bool, int]], Marked]:
+    """(text, weighs but for names, in an article, marked element) of every line, (is main, marked element) of every article, and the marked elements."""
+    lines: list[tuple[str, bool, bool, int]] = []
+    articles: list[tuple[bool, int]] = []
+    marked = Marked()
+    stack: list[tuple[str, bool, bool, int]] = []  # the last is the marked element around
     buffer: list[str] = []
     out = inside = 0
-    seen = False
+    mark = -1
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                lines.append((text, not out, bool(inside)))
+                lines.append((text, not out, bool(inside), mark))
 
     def pop() -> None:
-        nonlocal out, inside
-        _, o, a = stack.pop()
+        nonlocal out, inside, mark
+        _, o, a, mark = stack.pop()
         out -= o
         inside -= a
 
     at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
+            if stack and stack[-1][0] == "head" and not page[at : m.start()].isspace():
+                pop()
             buffer.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -78,11 +118,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         if tag in _BLOCK:
             flush()
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
+            if any(s[0] == tag for s in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
+        if stack and stack[-1][0] == "head" and tag not in _HEAD:
+            pop()
         if tag in _RAW:
             if not m[3].endswith("/"):
                 end = _RAW[tag].search(page, at)
@@ -91,27 +133,47 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         if tag in _VOID or m[3].endswith("/"):
             continue
         if tag in ("p", "li") and stack:  # an open paragraph ends where a block begins
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a") and any(t == tag for t, _, _ in stack) and stack[-1][0] != tag and tag == "p":
+            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a") and any(s[0] == tag for s in stack) and stack[-1][0] != tag and tag == "p":
                 pop()
             if stack and stack[-1][0] == tag:
                 pop()
-        o, a = _excluded(tag, m[3]), tag in ("article", "main")
-        seen |= a and not out and not o
-        stack.append((tag, o, a))
+        o, a, names = _excluded(tag, m[3]), tag in ("article", "main"), _marks(tag, m[3])
+        if a and not out:
+            articles.append((tag == "main", mark))
+        stack.append((tag, o, a, mark))
+        if names:
+            mark = marked.add(mark, bool(names & _OTHERS))
         out += o
         inside += a
     if at < len(page):
         tail = page[at:]
+        if stack and stack[-1][0] == "head":
+            pop()
         buffer.append(tail if not re.match(r"</?[a-zA-Z!]", tail) else "")
     flush()
-    return lines, seen
+    return lines, articles, marked
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, article = lines_of(page)
-    weights = [len(t) if weighs and (a or not article) else 0 for t, weighs, a in lines]
+    lines, articles, marked = lines_of(page)
+    for main, e in articles:
+        if main:
+            marked.lift(e)
+    standing = marked.standing()
+    fewest = min((standing[e] for _, e in articles), default=(False, 0))
+    text = _kept(lines, standing, bool(articles) and not fewest[1])
+    if fewest[1] and not (text and fewest[0]):
+        for _, e in articles:
+            if standing[e] == fewest:
+                marked.lift(e)
+        text = max(text, _kept(lines, marked.standing(), True), key=len)
+    return text
+
+
+def _kept(lines: list[tuple[str, bool, bool, int]], standing: list[tuple[bool, int]], article: bool) -> str:
+    weights = [len(t) if weighs and not standing[e][1] and (a or not article) else 0 for t, weighs, a, e in lines]
     least = 0 if article else LONE
     sums, total = [], 0
     for i, w in enumerate(weights):  # the sum over the window that ends here

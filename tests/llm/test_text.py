@@ -197,3 +197,25 @@ def test_guessable_values_and_prose_are_no_secrets():
 def test_many_contexts_in_one_run():
     text = "password=" * 50_000 + " " + "pwd:'a" * 50_000 + " token=abcdef" * 50_000
     assert len(secrets.scan_text(text)[0]) == 50_001
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "header-fixed", "search-results", "has-comments"])
+def test_names_round_an_article_do_not_empty_the_page(name):
+    for tag in ("article", "main"):
+        page = f"<html><body><div id=page class='{name}'><div class=ad>buy</div><{tag}><h1>A</h1><p>text</p><div class=comments><article>me too</article></div></{tag}><div class=related><article>other</article></div></div>"
+        assert html_text.main_text(page) == "A text", tag
+    assert html_text.main_text(f"<div class='{name}'><main><p>text</p></main></div><article>x</article>") == "text x"
+
+
+def test_names_round_other_articles_still_exclude():
+    long = "A long line of the text that is surely the main one, with many words. " * 3
+    for name in ("sidebar", "comments", "related"):
+        assert html_text.main_text(f"<p>{long}</p><div class={name}><article>other</article></div>") == long.strip()
+        assert html_text.main_text(f"<article>text</article><div class={name}><article>{long}</article></div>") == "text"
+
+
+def test_head_without_end_tag():
+    for body in ("<body><article><p>text", "<article>text</article>", "<main><br>text", "<meta charset=x><body class=x><main>text</main></body>"):
+        assert html_text.main_text(f"<html><head><title>t</title><style>p{{}}</style>\n{body}") == "text"
+    long = "A long line of the text that is surely the main one, with many words. "
+    assert html_text.main_text(f"<head><title>t</title>{long}<p>x") == long + "x" and html_text.main_text(f"<head>{long}") == long.strip()
