@@ -125,8 +125,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     items, chars = _items(benchmark)
     if chars > block_chars:
-        bad = decontaminate(docs, benchmark, window, block_chars).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        bad = _by_blocks(_keyed(docs), items, chars, window, block_chars).where("contaminated").select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
+        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("g")), "left_anti")
     search, at = _searcher(docs.sparkSession, [tuple(r) for r in items.collect()], window), docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -141,10 +141,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document: see SCHEMA. ``spans`` holds start and end of the hit runs, in words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    docs = _keyed(docs)
     items, chars = _items(benchmark)
     if chars <= block_chars:
         return _scan(docs, [tuple(r) for r in items.collect()], window).drop("h")
+    merged = _by_blocks(docs, items, chars, window, block_chars)
+    return docs.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).drop("d", "g", "h")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+
+
+def _by_blocks(docs: DataFrame, items: DataFrame, chars: int, window: int, block_chars: int) -> DataFrame:
+    """One row of SCHEMA for each doc_id and text of ``docs``."""
     # blocks of about block_chars / 2 each
     blocks = -(-chars * 2 // block_chars)
     once, parts = docs.dropDuplicates(["doc_id", "h"]), None
@@ -158,8 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         out = [_row(d, n, list(zip(s[::2], s[1::2])), set(i), h) for d, n, h, s, i in zip(*(c.to_pylist() for c in batch.columns))]
         return pa.RecordBatch.from_pylist(out, _ARROW)
 
-    merged = map_batches(united, merge, SCHEMA)
-    return docs.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).drop("d", "g", "h")
+    return map_batches(united, merge, SCHEMA)
 
 
 def op10_benchmark_decontamination(spark, sf_dir):

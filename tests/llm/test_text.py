@@ -219,3 +219,14 @@ def test_head_without_end_tag():
         assert html_text.main_text(f"<html><head><title>t</title><style>p{{}}</style>\n{body}") == "text"
     long = "A long line of the text that is surely the main one, with many words. "
     assert html_text.main_text(f"<head><title>t</title>{long}<p>x") == long + "x" and html_text.main_text(f"<head>{long}") == long.strip()
+
+
+def test_contaminated_rows_go_by_their_own_text(spark):
+    bad, clean = "one two three four five six", "seven eight nine"
+    rows = [(1, bad, "a"), (1, clean, "b"), (1, clean, "b"), (None, bad, "c"), (None, clean, "d"), (None, None, "e"), (2, bad, "f"), (2, bad, "g"), (3, "", "h"), (4, None, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "ten eleven"), (4, "twelve thirteen")], "item_id long, text string")
+    for block_chars in (decontaminate.BLOCK_CHARS, 20):
+        got = decontaminate.drop_contaminated(docs, bench, block_chars=block_chars)
+        assert got.columns == docs.columns
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if r[1] != bad), block_chars
