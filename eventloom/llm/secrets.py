@@ -8,7 +8,8 @@ one case and, where neither ``:`` nor ``=`` stands before, the marks that join o
 dictionary words, dates, repeats, keyboard walks, alphabet sequences and brute-force spans.
 
 Null text counts as empty: no spans. Offsets are code points, the end exclusive. Repeated rows stay; an empty table gives
-an empty result; only doc_id and text are read. A value of any length is costed in O(length * 64) steps.
+an empty result; only doc_id and text are read. A value of any length is costed in O(length * 64) steps, and only until no segmentation under
+``MIN_GUESSES`` is left.
 """
 
 from __future__ import annotations
@@ -38,11 +39,12 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 #: Common passwords and words, most common first; fixed values.
 WORDS = {w: i + 1 for i, w in enumerate("password 123456 qwerty letmein admin welcome monkey dragon master login abc123 iloveyou sunshine princess football shadow secret test user root guest default changeme example token key the and for you that with this from have love god baby summer winter spring hello world super batman".split())}
+LONGEST = max(map(len, WORDS))
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i) for r, row in enumerate(KEYBOARD) for i, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?\d{1,2}(?:[-/.]?\d{1,2})?)?|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d\d)")
 _LEET = str.maketrans("@4031$5!7", "aaoelssit")
-REACH = 64  # longest dictionary word, date, walk or sequence that is tried at a place; longer ones are cut
+OVERLAP = 64  # a run's end shares fewer characters than this with what may follow: a word, a date or a run of another kind
 
 
 def _adjacent(a: str, b: str) -> bool:
@@ -55,8 +57,12 @@ def _space(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 2.0
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; each further segment costs log10(2) for its order."""
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation; each further segment costs log10(2) for its order. Infinite from ``limit`` on.
+
+    A run may end early only for a segment that goes on beyond it: else its whole length costs less than what would cover
+    the rest. So of a long run the last ``OVERLAP`` ends are tried.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
@@ -66,27 +72,38 @@ def guess_cost(value: str) -> float:
         walk[i] = walk[i + 1] + 1 if _adjacent(low[i - 1], low[i]) else 0
         step[i] = step[i + 1] + 1 if ord(low[i]) - ord(low[i - 1]) == 1 else 0
     brute = math.log10(2)
+    live = 0  # the furthest place that is reached under the limit
     for i in range(n):
+        if i > live:
+            return math.inf
+        if best[i] >= limit:
+            continue
         here = best[i] + (brute if i else 0)
 
         def offer(length: int, cost: float) -> None:
-            if here + cost < best[i + length]:
+            nonlocal live
+            if here + cost < min(best[i + length], limit):
                 best[i + length] = here + cost
+                live = max(live, i + length)
 
         # brute force: one character joins the span before without a new segment's cost
         best[i + 1] = min(best[i + 1], best[i] + _space(value[i]))
-        for length in range(3, min(REACH, n - i, 12) + 1):
+        if best[i + 1] < limit:
+            live = max(live, i + 1)
+        for length in range(3, min(n - i, LONGEST) + 1):
             for form, extra in ((low, 0.0), (plain, 0.5)):
                 rank = WORDS.get(form[i : i + length])
                 if rank:
                     offer(length, math.log10(rank + 1) + extra + (0.5 if value[i : i + length] != low[i : i + length] else 0))
-        if (m := _DATE.match(value, i)) and m.end() - i >= 4:
-            offer(m.end() - i, 4.6 if m.end() - i > 4 else 2.1)
+        if value[i].isdigit():
+            for length in range(4, min(n - i, 10) + 1):
+                if _DATE.fullmatch(value, i, i + length):
+                    offer(length, 4.6 if length > 4 else 2.1)
         for run, least, cost in ((repeat, 2, 1.5), (walk, 3, 2.0), (step, 2, 1.5)):
-            r = min(run[i + 1] if i + 1 <= n else 0, REACH - 1)
-            if r >= least:
+            whole = run[i + 1]
+            for r in range(max(least, whole - OVERLAP), whole + 1):
                 offer(r + 1, cost + math.log10(r + 1))
-    return best[n]
+    return best[n] if best[n] < limit else math.inf
 
 
 def _closing(text: str, quote: str, a: int, end: int) -> int:
@@ -135,7 +152,7 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[
             if b - a < 6 or b <= covered:
                 continue
             value = text[a:b]
-            if not _prose(value, not any(c in ":=" for c in m[0])) and guess_cost(value) >= MIN_GUESSES:
+            if not _prose(value, not any(c in ":=" for c in m[0])) and guess_cost(value, MIN_GUESSES) >= MIN_GUESSES:
                 more.append((a, "guess", b))
                 done = b
     order = lambda x: (x[0], KINDS[x[1]])

@@ -230,3 +230,43 @@ def test_contaminated_rows_go_by_their_own_text(spark):
         got = decontaminate.drop_contaminated(docs, bench, block_chars=block_chars)
         assert got.columns == docs.columns
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if r[1] != bad), block_chars
+
+
+def plain_guess_cost(value):
+    """Every segmentation's least cost: each length of each form at each place."""
+    import math
+
+    low, plain = value.lower(), value.lower().translate(secrets._LEET)
+    best = [0.0] + [math.inf] * len(value)
+    for i in range(len(value)):
+        best[i + 1] = min(best[i + 1], best[i] + secrets._space(value[i]))
+        for j in range(i + 3, len(value) + 1):
+            costs = [math.log10(secrets.WORDS[f[i:j]] + 1) + x + 0.5 * (value[i:j] != low[i:j]) for f, x in ((low, 0), (plain, 0.5)) if f[i:j] in secrets.WORDS]
+            pairs = list(zip(low[i:j], low[i + 1 : j]))
+            costs += [1.5 + math.log10(j - i)] * (all(a == b for a, b in pairs) or all(ord(b) - ord(a) == 1 for a, b in pairs))
+            costs += [2.0 + math.log10(j - i)] * (j - i > 3 and all(secrets._adjacent(a, b) for a, b in pairs))
+            costs += [4.6 if j - i > 4 else 2.1] * bool(secrets._DATE.fullmatch(value, i, j))
+            if costs:
+                best[j] = min(best[j], best[i] + min(costs) + (math.log10(2) if i else 0))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least():
+    import random
+
+    pick = random.Random(5)
+    parts = ["password", "Dragon", "p@55w0rd", "aaaaaaaa", "a" * 90, "1" * 70, "abcdefghij", "12345678", "qwertyuiop", "asdfg", "1999", "2001-12-31", "19991231", "1.2.2003", "123456", "x", "K#", "secret", "7"]
+    for _ in range(300):
+        value = "".join(p[pick.randrange(2) * pick.randrange(len(p)) :] for p in pick.choices(parts, k=pick.randint(1, 4)))
+        assert secrets.guess_cost(value) == pytest.approx(plain_guess_cost(value)), value
+        cost = secrets.guess_cost(value, secrets.MIN_GUESSES)
+        assert cost == pytest.approx(plain_guess_cost(value)) if plain_guess_cost(value) < secrets.MIN_GUESSES else cost == float("inf")
+    assert secrets.guess_cost("1" + "z" * 400) < 6 and secrets.scan_text("pwd: 1" + "z" * 400)[1] == []
+    # the repeat leaves its last letter, the date its last digits to the word behind
+    for value, parts in (("ddddddragon", ("ddddd", "dragon")), ("20011123456", ("2001", "1", "123456"))):
+        assert secrets.guess_cost(value) <= sum(map(secrets.guess_cost, parts)) + 0.31 * (len(parts) - 1)
+
+
+def test_long_values_are_costed_quickly():
+    text = "pwd: " + "k#v!xq$z%wp" * 500_000 + " login: 1" + "z" * 20_000
+    assert [k for _, k, _ in secrets.scan_text(text)[1]] == ["guess"]
