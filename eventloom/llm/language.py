@@ -1,7 +1,8 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Learning: n-grams of 1 to 3 lower-cased characters (letters; all else is a word border) are hashed into ``BUCKETS`` buckets
-and counted by language on the executors, from at most about ``SAMPLE`` labelled rows, chosen by the hash of their ids.
+and counted by language on the executors. Of each language at most about as many rows are learned, chosen by the hash of
+their ids, as make ``SAMPLE`` rows of all, and no fewer than ``LEAST``; a language with fewer rows is learned from them all.
 Counts are summed by Spark; the driver gets at most languages * BUCKETS sums, makes a float32 log-probability matrix of
 them (smoothed, with a uniform prior) and broadcasts it. Scoring: a batch is a sparse document-by-bucket matrix in
 coordinate form that meets the matrix by a gather and segment sums.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import crc_fold, map_batches, table
 
-BUCKETS, SAMPLE, ALPHA = 1 << 15, 6000, 0.5
+BUCKETS, SAMPLE, LEAST, ALPHA = 1 << 15, 6000, 200, 0.5
 CHUNK = 1 << 20  # characters that are hashed at once
 _FOLDS, _HELD = 3, 1
 _KIND = None
@@ -73,14 +74,25 @@ def _groups(texts: list[str | None]):
         yield run
 
 
+def _most(sizes: list[int], sample: int) -> float:
+    """Rows of a language at most, so that all languages have ``sample`` together where they hold as many."""
+    rest = float(sample)
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) >= rest:
+            return max(rest / (len(sizes) - k), min(LEAST, sample))
+        rest -= n
+    return float(max(sizes))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability matrix buckets x languages) from doc_id, text and lang."""
     rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    n = rows.count()
-    if not n:
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = min(1.0, sample / n)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    most = _most(list(sizes.values()), sample)
+    limits = docs.sparkSession.createDataFrame([(lang, int(min(1.0, most / n) * (1 << 20)) + 1) for lang, n in sizes.items()], "lang string, upto long")
+    chosen = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("upto")).select("doc_id", "text", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         by: dict[str, np.ndarray] = {}

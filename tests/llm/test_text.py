@@ -270,3 +270,12 @@ def test_guess_cost_is_the_least():
 def test_long_values_are_costed_quickly():
     text = "pwd: " + "k#v!xq$z%wp" * 500_000 + " login: 1" + "z" * 20_000
     assert [k for _, k, _ in secrets.scan_text(text)[1]] == ["guess"]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the quiet river runs by the old mill", "en") for i in range(3000)] + [(5000 + i, "hiljainen joki virtaa vanhan myllyn ohi", "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=60)
+    assert model[0] == ["en", "fi"]
+    assert {(r.doc_id >= 5000, r.lang_pred) for r in language.predict(docs, model).collect()} == {(False, "en"), (True, "fi")}
+    assert language._most([3, 9000], 6000) == 5997 and language._most([5, 9], 60) == 9 and language._most([10**6] * 100, 6000) == language.LEAST
