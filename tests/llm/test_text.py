@@ -279,3 +279,83 @@ def test_rare_languages_are_learned(spark):
     assert model[0] == ["en", "fi"]
     assert {(r.doc_id >= 5000, r.lang_pred) for r in language.predict(docs, model).collect()} == {(False, "en"), (True, "fi")}
     assert language._most([3, 9000], 6000) == 5997 and language._most([5, 9], 60) == 9 and language._most([10**6] * 100, 6000) == language.LEAST
+
+
+def test_pipeline_against_a_plain_one(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    pick = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(pick.choices(vocabulary, k=n))
+    items = [(f"b{i}", prose(30)) for i in range(5)]
+    rows = [(i, prose(60)) for i in range(60)]
+    rows += [(100 + i, prose(20) + " idiot " + prose(20)) for i in range(80)] + [(600 + i, prose(50)) for i in range(100)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(8)] + [(210, rows[9][1].upper()), (211, rows[10][1]), (10, rows[10][1])]
+    rows += [(300 + i, f"{prose(20)} {t} {prose(20)}") for i, (_, t) in enumerate(items)] + [(310, prose(20) + " " + items[0][1][:20])]
+    secret = "k#v!xq$z%wp"
+    rows += [(400 + i, f"{prose(30)} password: {secret} {prose(9)} token=abcdef{i}!{secret}") for i in range(5)]
+    rows += [(None, prose(40)), (None, items[1][1]), (None, f"{prose(30)} secret = '{secret}'"), (500, None), (501, ""), (502, "  ")]
+    docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, int(100 <= d < 180)) for d, _ in rows if d is not None and (d < 180 or d >= 600)], "doc_id long, toxic int").distinct().write.parquet(f"{tmp_path}/labels.parquet")
+
+    taken = {}
+    frame, plain = spark.read.parquet(f"{tmp_path}/documents.parquet"), rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = f"{tmp_path}/{name}"
+        stage(spark, frame, str(tmp_path)).write.parquet(out)
+        frame = spark.read.parquet(out)
+        got = [tuple(r) for r in frame.select("doc_id", "text").collect()]
+        if name == "toxicity":  # each text by itself, by a network learned apart
+            model = toxicity.fit(toxicity.training_rows(docs), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            want = [r for r in plain if toxicity._text_scores(model, pa.array([r[1]], pa.string()))[0] < toxicity.THRESHOLD]
+            assert sum("idiot" in (t or "") for _, t in want) <= 8 and sum("idiot" not in (t or "") for _, t in want) >= 0.95 * (len(rows) - 80)
+        elif name == "ngram_jaccard":
+            want = plain_copies_dropped(plain)
+        elif name == "decontamination":
+            want = [r for r in plain if not plain_contaminated(r[1], [t for _, t in items])]
+        else:
+            assert not any(secret in (t or "") or "abcdef" in (t or "") for _, t in got)
+            want = [(d, t and re.sub(r"password: \S+|token=\S+|(?<=secret = ')[^']+", lambda m: "password: [secret]" if m[0][0] == "p" else "[secret]", t)) for d, t in plain]
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in frame.collect())
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+        taken[name], plain = (len(plain), len(got)), got
+    assert all(a > b for n, (a, b) in taken.items() if n != "secrets") and len(set(taken["secrets"])) == 1
+    library = Tokenizer.from_file(bpe.default_path())
+    ends = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is not null").collect()}
+    assert sorted(ends) == sorted(d for d, _ in plain if d is not None)
+    assert all(ends[d].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids) and ends[d].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for d, t in plain if d is not None)
+
+
+def plain_copies_dropped(rows):
+    """Of the rows of linked sets of five words that of the least id; rows without an id stay."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) or rows[i][0] == rows[j][0] is not None:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    least = {}
+    for r, (d, t) in zip(root, rows):
+        if d is not None:
+            least[r] = min(least.get(r, (d, t)), (d, t), key=lambda x: x[0])
+    return [*least.values(), *(r for r in rows if r[0] is None)]
+
+
+def plain_contaminated(text, items):
+    w, hit = WORD.findall(lower(text)), set()
+    for t in items:
+        v = WORD.findall(lower(t))
+        for size in {min(13, len(v))}:
+            windows = {tuple(v[i : i + size]) for i in range(len(v) - size + 1)}
+            hit |= {k for i in range(len(w) - size + 1) if tuple(w[i : i + size]) in windows for k in range(i, i + size)}
+    return bool(hit) and 20 * len(hit) >= len(w)
