@@ -2,8 +2,8 @@
 
 Templates are the mandatory key phrases of licences. Each phrase is posted in the index under its highest-IDF word (IDF
 over the template collection) with the word's place in the phrase. A file's licence words are looked up, every posting
-proposes a start (place in the file minus place in the phrase), starts of one template are intersected, and the whole
-phrase is then verified word by word. Every occurrence is looked up; nothing is capped. One projection does it all: no
+proposes a start (place in the file minus place in the phrase), and the whole phrase is then verified word by word. As a
+phrase has one anchor, there are no starts of one template to intersect. Every occurrence is looked up; nothing is capped. One projection does it all: no
 shuffle, no Python.
 
 Null text counts as empty: no words, null first and last word, empty labels, score 0. Repeated rows stay; an empty table
@@ -53,7 +53,7 @@ def words_of(text: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, base=BASE, more=MORE) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (matched share of the best place's context)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (h / (h + 1) of h found phrases)."""
     templates = [*base, *more]
     index = build_index(templates)
     rows = docs.select("doc_id", words_of(F.col("text")).alias("w"))
