@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import map_batches, table
 
-WORDS_KEPT, ARCS_KEPT = 400_000, 2_000_000  # entries after which a table is emptied: bounds of memory, not of results
+WORDS_KEPT, ARCS_KEPT = 200_000, 500_000  # entries after which a table is emptied: bounds of memory, not of results
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 
@@ -62,6 +62,8 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         got = tuple(self.run(word.encode()))
         if len(word) <= 64:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
             self[word] = got
         return got
 
@@ -143,6 +145,8 @@ class Automaton:
                     key = (out[-1], t)
                     ok = arcs.get(key)
                     if ok is None:
+                        if len(arcs) >= ARCS_KEPT:
+                            arcs.clear()
                         ok = arcs[key] = self._has_arc(*key)
                     if ok:
                         break
@@ -177,12 +181,13 @@ class Automaton:
         return ids
 
     def _ordinary(self, text: str, ids: array) -> None:
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        if len(self.arcs) >= ARCS_KEPT:
-            self.arcs.clear()
         ids.extend(chain.from_iterable(map(self.words.__getitem__, (PLAIN_SPLIT if PLAIN.fullmatch(text) else SPLIT).findall(text))))
 
+    def forget(self) -> None:
+        """Empty the tables that grow with the texts."""
+        self.words.clear()
+        self.arcs.clear()
+
     def decode(self, ids) -> str:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -215,7 +220,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
         return pa.RecordBatch.from_arrays(cols + ([pa.array(all_ids, pa.list_(pa.int32()))] if ids else []), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return map_batches(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, lambda: automaton(path).forget())
 
 
 def default_path() -> str:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import gc
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,24 +32,59 @@ def crc_fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One output batch for each input batch; memory is bounded by a batch."""
+#: Bytes of an Arrow batch that goes to a Python worker, whatever the number of its rows; one longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such call the allocator keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over batches that are bounded by bytes; what a task has freed goes back to the system at its end.
+
+    The bound is the session's, as Spark reads it when the plan runs; a lower one that is set already stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, done: Callable[[], None] | None = None) -> DataFrame:
+    """One output batch for each input batch; memory is bounded by a batch. ``done`` runs at a task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield fn(b)
+        finally:
+            if done:
+                done()
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that spark.checkpoint.dir names, which driver and executors share; one of our own where it is unset and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -56,11 +97,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, for larger results."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Parquet tables in the shared folder that cut the lineage and go when the block ends: smaller than checkpoints."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

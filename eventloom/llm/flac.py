@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from eventloom.llm.common import map_batches, table
+from eventloom.llm.common import map_batches, map_stream, table
 
 FRAME, RATE, PARTS, CHUNK, PAD = 576, 8000, 2, 2048, 255
 _FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]])
@@ -365,7 +365,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                 at = list(range(0, len(raw), FRAME))
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), b.schema.field(0).type), pa.array(at, pa.int64()), pa.array([raw[a : a + FRAME] for a in at], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {dict(media.dtypes)['doc_id']}, sample_offset long, pcm binary")
+    return map_stream(media.select("doc_id", "media"), run, f"doc_id {dict(media.dtypes)['doc_id']}, sample_offset long, pcm binary")
 
 
 def op4_media_columns(spark, sf_dir):

@@ -9,7 +9,9 @@ hub, the class with the largest share of frequent shingles (of near copies, the
 ``FIRST`` nearest of these are tried for each class. Pairs are verified by vertical partitioning: the order is cut into ``FRAGMENTS``
 ranges, the overlap of a pair is counted in each range by itself, and the partial counts are summed. Linked classes are
 joined into components; then all classes that share a bucket across components, and pass the bounds, are verified too. Every
-link between different texts is thus either verified or lies within one component already; nothing is capped.
+link between different texts is thus either verified or lies within one component already; nothing is capped. The postings of
+a hot shingle are dealt to several tasks by a salt for the first step, which only chooses an order; for the second a bucket is
+cut into blocks of about ``BUCKET`` classes, and every two blocks meet in a task of their own.
 
 The bounds are exact: sizes, positions, and a parity sketch. Its bit i tells if a set has an odd number of shingles that
 hash to i, so two sets differ in at least as many shingles as their sketches differ in bits; linked sets differ in at most a
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import durable, release, table, written
+from eventloom.llm.common import Scratch, durable, map_stream, release, table
 
 SHINGLE, FRAGMENTS, SKETCH = 5, 8, 8  # SKETCH: 64-bit words of a parity sketch
 #: Neighbours tried for each class before all the rest is; a choice of order alone.
 FIRST = 3
 #: The order of shingles alone depends on these two, never the result: shingles seen this often are late, and so many of them.
 FREQUENT, MOST_FREQUENT = 6, 1_000_000
+COUNTED_AT_ONCE = 2_000_000  # shingles of distinct sets in which a task looks for repeated ones at a time
+BUCKET = 4096  # postings of a shingle that one task gets together; larger buckets are dealt to several
 SIEVE_BITS = 1 << 24  # of the filter that spares reading documents that aren't in a pair
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -109,35 +113,48 @@ def prefix_size(n: int) -> int:
 def _describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n, key, sketches) of every row, and rows without these that hold shingles seen repeatedly with their counts."""
 
+    kind = pa.list_(pa.int64())
+    names = ["doc_id", "n", "key", *_BITS, "wide", "common", "counts"]
+
+    def repeated(own: dict[int, np.ndarray], id_type) -> pa.RecordBatch:
+        common, count = np.unique(np.concatenate(list(own.values())), return_counts=True)
+        keep = count > 1
+        row = [pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([0], pa.int64()) for _ in _BITS), pa.nulls(1, kind)]
+        return pa.RecordBatch.from_arrays([*row, pa.array([common[keep].astype(np.int64)], kind), pa.array([count[keep]], kind)], names=names)
+
     def run(batches):
+        own, held, id_type = {}, 0, None  # the sets whose shingles are counted together
         for b in batches:
-            sizes, keys, own, sketches, wide = [], [], {}, [], []
+            sizes, keys, sketches, wide, id_type = [], [], [], [], b.schema.field(0).type
             for t in b.column(1):
                 s = shingles(t.as_py())
                 sizes.append(len(s))
                 keys.append(key_of(s) if len(s) else None)
                 sketches.append(sketch_of(s))
                 wide.append(wide_sketch_of(s))
-                if len(s):
+                if len(s) and keys[-1] not in own:
                     own[keys[-1]] = s
-            common, count = np.unique(np.concatenate(list(own.values())), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
-            keep = count > 1
-            kind = pa.list_(pa.int64())
-            bits = np.array([*sketches, np.zeros(SKETCH, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)]), pa.array([*sizes, -1], pa.int64()), pa.array([*keys, None], pa.int64()), *map(pa.array, bits.T.copy()), pa.array([*wide, None], kind), pa.array([None] * len(sizes) + [common[keep].astype(np.int64)], kind), pa.array([None] * len(sizes) + [count[keep]], kind)],
-                names=["doc_id", "n", "key", *_BITS, "wide", "common", "counts"],
-            )
+                    held += len(s)
+                if held >= COUNTED_AT_ONCE:
+                    yield repeated(own, id_type)
+                    own, held = {}, 0
+            bits = np.array(sketches)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *map(pa.array, bits.T.copy()), pa.array(wide, kind), pa.nulls(len(sizes), kind), pa.nulls(len(sizes), kind)], names=names)
+        if own:
+            yield repeated(own, id_type)
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key long, {', '.join(f'{c} long' for c in _BITS)}, wide array<long>, common array<long>, counts array<long>")
+    return map_stream(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key long, {', '.join(f'{c} long' for c in _BITS)}, wide array<long>, common array<long>, counts array<long>")
 
 
-def _postings(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(shingle, key, n, at, hub) of the prefixes, hub: late shingles in a thousand; copies of a text are posted once a task."""
-    sent = docs.sparkSession.sparkContext.broadcast(late)
+def _postings(docs: DataFrame, late: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(shingle, salt, key, n, at, hub) of the prefixes, hub: late shingles in a thousand; copies of a text are posted once a task.
+
+    The salt deals the classes of a ``hot`` shingle to so many ``parts``, from 1 on; it is 0 for all others.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((late, hot, parts))
 
     def run(batches):
-        late, done = sent.value, set()
+        (late, hot, into), done = sent.value, set()
         for b in batches:
             parts = []
             for t in b.column(1):
@@ -152,14 +169,19 @@ def _postings(docs: DataFrame, late: np.ndarray) -> DataFrame:
                     hub = int(1000 * is_late.sum() // len(s))
                     s = np.concatenate([s[~is_late], s[is_late]])
                 p = prefix_size(len(s))
-                parts.append((s[:p], key, len(s), hub, p))
+                salt = np.zeros(p, np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, s[:p]), len(hot) - 1)
+                    salt = np.where(hot[at] == s[:p], 1 + key % into[at], 0).astype(np.int32)
+                parts.append((s[:p], salt, key, len(s), hub, p))
             if len(done) > 1_000_000:
                 done.clear()
             if parts:
-                size = [p for *_, p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, *_ in parts]).astype(np.int64)), pa.array(np.repeat([k for _, k, *_ in parts], size)), pa.array(np.repeat([n for _, _, n, *_ in parts], size).astype(np.int32)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in size])), pa.array(np.repeat([h for *_, h, _ in parts], size).astype(np.int16))], names=["shingle", "key", "n", "at", "hub"])
+                posted, salts, keys, sizes, hubs, size = zip(*parts)
+                spread = lambda v, kind: pa.array(np.repeat(np.array(v, kind), size))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(posted).astype(np.int64)), pa.array(np.concatenate(salts)), spread(keys, np.int64), spread(sizes, np.int32), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in size])), spread(hubs, np.int16)], names=["shingle", "salt", "key", "n", "at", "hub"])
 
-    return docs.mapInArrow(run, "shingle long, key long, n int, at int, hub short")
+    return map_stream(docs, run, "shingle long, salt int, key long, n int, at int, hub short")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,14 +210,14 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["key", "fragment", "part"])
 
-    return docs.select(spot.alias("spot"), "text").mapInArrow(run, "key long, fragment int, part array<long>")
+    return map_stream(docs.select(spot.alias("spot"), "text"), run, "key long, fragment int, part array<long>")
 
 
-def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The linked ones of ``pairs`` (a, b, na, nb), by partial overlaps of fragments."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = ids.join(members, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    parts = _segments(docs, wanted)
+    wanted = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(members, "key", "left_semi")
+    parts = scratch.write(_segments(docs, wanted))  # read for both sides of a pair
     left = pairs.join(parts.select(F.col("key").alias("a"), "fragment", F.col("part").alias("pa")), "a")
     both = left.join(parts.select(F.col("key").alias("b"), "fragment", F.col("part").alias("pb")), ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("k"))
@@ -215,15 +237,19 @@ def close(pairs: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, root) of every node of ``edges`` (a, b), by alternating large and small stars; root is the least key."""
+    """(key, root) of every node of ``edges`` (a, b), by alternating large and small stars; root is the least key.
+
+    The least neighbours are checkpointed by themselves, so that both joins shuffle plain tables, whose skew (a star's hub) Spark splits.
+    """
     e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     before = mark(e)
     while before.n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = durable(e)
+        least = durable(e.groupBy("u").agg(F.min("v").alias("m")))
         e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = durable(e)
         after = mark(e)
@@ -240,20 +266,31 @@ _REST = "7 * (c + least(na - 1 - pa, nb - 1 - pb)) >= 3 * (na + nb)"
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select("doc_id", "text")
+    with Scratch(docs.sparkSession) as scratch:
+        return _link(docs.select("doc_id", "text"), scratch)
+
+
+def _link(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
     described = durable(_describe(docs))
     ids = described.where("n >= 0").select("doc_id", "n", "key")
     sketches = durable(described.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in _BITS)))
     wide = described.where("wide is not null").groupBy("key").agg(F.first("wide").alias("wide"))
     side = lambda x: sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in _BITS))
     counted = described.where("n < 0").select(F.explode(F.arrays_zip("common", "counts")).alias("x")).groupBy("x.common").agg(F.sum("x.counts").alias("c"))
-    late = counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "common").limit(MOST_FREQUENT).toPandas()["common"].to_numpy(np.int64).astype(np.uint64)
-    by_size = Window.partitionBy("shingle").orderBy("n", "key")
-    posted = _postings(docs, np.sort(late)).repartition("shingle")
+    often = counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "common").limit(MOST_FREQUENT).toPandas()
+    late = often["common"].to_numpy(np.int64).astype(np.uint64)
+    hot = often["c"].to_numpy(np.int64) > BUCKET
+    hot, parts = late[hot], -(-often["c"].to_numpy(np.int64)[hot] // BUCKET)
+    order = np.argsort(hot)
+    bucket = Window.partitionBy("shingle", "salt")
+    by_size = bucket.orderBy("n", "key")
+    posted = _postings(docs, np.sort(late), hot[order], parts[order]).repartition("shingle", "salt")
     posted = posted.select("*", *(F.lag(c).over(by_size).alias(f"b_{c}") for c in ("key", "n", "at")), F.lead("key").over(by_size).alias("next"))
-    posted = posted.withColumn("hub", F.max(F.struct("hub", "key", "n", "at")).over(Window.partitionBy("shingle")))
-    shared = written(posted.where("b_key <> key or next <> key").drop("next"))  # buckets of one class are gone
-    release(docs.sparkSession)
+    posted = posted.withColumn("hub", F.max(F.struct("hub", "key", "n", "at")).over(bucket))
+    # buckets of one class are gone; a part of a hot bucket says nothing of the others
+    shared = scratch.write(posted.where("salt > 0 or b_key <> key or next <> key").drop("next", "salt"))
+    release(spark)
     beside, hub = F.struct(F.col("b_key").alias("b"), F.col("b_n").alias("nb"), F.col("b_at").alias("pb")), F.struct(F.col("hub.key").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.at").alias("pb"))
     others = F.array(beside, F.when(F.col("hub.key") != F.coalesce("b_key", "key"), hub))
     near = shared.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.explode(others).alias("x")).select("a", "na", "pa", "x.*").where("a <> b").where(_FIT).repartition("a")
@@ -265,30 +302,38 @@ def link_components(docs: DataFrame) -> DataFrame:
     near = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= FIRST).select("a", "b", "na", "nb")
     texts = ids.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("all")).where("a <> b")
     same = texts.select("a", F.explode("all").alias("b"))  # one id with several texts
-    first = durable(verify(docs, ids, durable(close(durable(near), wide))).unionByName(same))
-    release(docs.sparkSession)
+    first = durable(verify(docs, ids, durable(close(durable(near), wide)), scratch).unionByName(same))
+    release(spark)
     root = durable(components(first))
-    release(docs.sparkSession)
+    release(spark)
     rooted = shared.select("shingle", "key", "n", "at").distinct().join(root, "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-    split = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rooted = written(rooted.join(split, "shingle", "left_semi").join(sketches, "key"))
-    a, b = (rooted.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("root").alias(f"r{x}"), *(F.col(c).alias(f"{x}_{c}") for c in _BITS)) for x in "ab")
-    cross = a.join(b, "shingle").where("ra < rb").where(_FIT).where(_SKETCHES).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    split = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low <> high")
+    split = durable(split.select("shingle", F.ceil(F.col("c") / BUCKET).cast("int").alias("blocks")))
+    rooted = scratch.write(rooted.join(split, "shingle").join(sketches, "key"))
+    # a large bucket is cut into blocks of classes, and each pair of blocks is a join key of its own
+    own, every = F.pmod(F.col("key"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a, b = (rooted.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("root").alias(f"r{x}"), *(F.col(c).alias(f"{x}_{c}") for c in _BITS), (own if x == "a" else every).alias("i"), (every if x == "a" else own).alias("j")) for x in "ab")
+    cross = a.join(b, ["shingle", "i", "j"]).where("ra < rb").where(_FIT).where(_SKETCHES).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # all that two prefixes share is counted; what is left can't share more than the shorter rest
     cross = durable(close(durable(cross.where(_REST).select("a", "b", "na", "nb")), wide))
-    release(docs.sparkSession)
+    release(spark)
     if not cross.isEmpty():
-        root = durable(components(first.unionByName(verify(docs, ids, cross))))
-    rows = ids.join(root, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("root"))
-    rows = durable(rows)
-    names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        root = durable(components(first.unionByName(verify(docs, ids, cross, scratch))))
+    rows = durable(ids.join(root, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("root")))
+    # checkpointed by itself, so that the join below shuffles plain tables and Spark splits a large component
+    names = durable(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(names, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id. Rows without an id stay."""
+    """``docs`` with one row of each component: that of the smallest id. Rows without an id stay.
+
+    Of several rows of that id the one with the least text stays (a null text comes last), at ties that with the least hash of all columns.
+    """
     kept = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.col("text").isNull().alias("a"), F.col("text").alias("b"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("c"))
+    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("r")).select("r.*")
     return whole.unionByName(docs.where("doc_id is null"))
 
 

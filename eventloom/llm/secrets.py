@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_batches, table
+from eventloom.llm.common import map_batches, map_stream, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run's tail is shorter than the run: the same matches as AKIA[A-Z0-9]+ of 20+
@@ -198,7 +198,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 cols[count] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_stream(docs, run, docs.schema)
 
 
 def op5_secret_scans(spark, sf_dir):
