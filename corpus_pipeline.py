@@ -1,4 +1,10 @@
-"""A corpus pipeline over ``documents``: each stage gets what the one before kept, written as Parquet and read again."""
+"""A corpus pipeline over ``documents``: each stage gets what the one before kept, written as Parquet and read again.
+
+All stages but the last keep every column, whatever its name. Each judges a row by its own text, nulls as empty: a null or
+empty text is scored as such by the first stage, is linked with nothing, holds no benchmark passage and no secret, and has no
+token. Rows without an id are never dropped as copies. Rows that repeat are judged alike; of several rows of one id the copies
+stage keeps one (see ``ngram_join.keep_one``). Empty tables give empty results; without labels nothing counts as toxic.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import bpe, decontaminate, ngram_join, secrets, toxicity
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can't express the network, the merges or the redaction's guess costs.
 ORACLE_SQL = None
 
@@ -16,22 +21,22 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.drop_toxic(docs.select(*COLUMNS), toxicity.fit(toxicity.training_rows(docs), labels))
+    return toxicity.drop_toxic(docs, toxicity.fit(toxicity.training_rows(docs), labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays."""
-    return ngram_join.keep_one(docs.select(*COLUMNS))
+    return ngram_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold much of a benchmark item go."""
-    return decontaminate.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; every secret in a text is replaced by a mark, and n_chars follows the text."""
-    return secrets.redact(docs.select(*COLUMNS))
+    return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +54,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them is written to the shared folder."""
-    from eventloom.llm.common import shared_folder
+    """All stages over ``documents``; what is between them is written to the shared folder, and goes when the next stage is written."""
+    from eventloom.llm.common import remove, shared_folder
 
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -58,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
