@@ -232,22 +232,28 @@ def test_contaminated_rows_go_by_their_own_text(spark):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if r[1] != bad), block_chars
 
 
-def plain_guess_cost(value):
-    """Every segmentation's least cost: each length of each form at each place."""
+def plain_guess_cost(value, blocks=True):
+    """Every segmentation's least cost: each length of each form at each place; a brute-force span is a segment too."""
     import math
 
-    low, plain = value.lower(), value.lower().translate(secrets._LEET)
-    best = [0.0] + [math.inf] * len(value)
-    for i in range(len(value)):
-        best[i + 1] = min(best[i + 1], best[i] + secrets._space(value[i]))
-        for j in range(i + 3, len(value) + 1):
-            costs = [math.log10(secrets.WORDS[f[i:j]] + 1) + x + 0.5 * (value[i:j] != low[i:j]) for f, x in ((low, 0), (plain, 0.5)) if f[i:j] in secrets.WORDS]
-            pairs = list(zip(low[i:j], low[i + 1 : j]))
-            costs += [1.5 + math.log10(j - i)] * (all(a == b for a, b in pairs) or all(ord(b) - ord(a) == 1 for a, b in pairs))
-            costs += [2.0 + math.log10(j - i)] * (j - i > 3 and all(secrets._adjacent(a, b) for a, b in pairs))
+    low, plain, n = value.lower(), value.lower().translate(secrets._LEET), len(value)
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        brute = 0.0
+        for j in range(i + 1, n + 1):
+            brute += secrets._space(value[j - 1])
+            costs = [brute]
+            costs += [secrets.COMMON.cost[f[i:j]] + x + 0.5 * (value[i:j] != low[i:j]) for f, x in ((low, 0), (plain, 0.5)) if j - i > 2 and f[i:j] in secrets.COMMON.cost]
+            if j - i > 2:
+                pairs = list(zip(low[i:j], low[i + 1 : j]))
+                costs += [1.5 + math.log10(j - i)] * (all(a == b for a, b in pairs) or all(ord(b) - ord(a) == 1 for a, b in pairs))
+                costs += [2.0 + math.log10(j - i)] * (j - i > 3 and all(secrets._adjacent(a, b) for a, b in pairs))
             costs += [4.6 if j - i > 4 else 2.1] * bool(secrets._DATE.fullmatch(value, i, j))
-            if costs:
-                best[j] = min(best[j], best[i] + min(costs) + (math.log10(2) if i else 0))
+            for size in range(2, 9) if blocks else ():
+                times = (j - i) // size
+                if times > 1 and value[i:j] == value[i : i + size] * times:
+                    costs.append(plain_guess_cost(value[i : i + size], False) + math.log10(times))
+            best[j] = min(best[j], best[i] + min(costs) + (math.log10(2) if i else 0))
     return best[-1]
 
 
@@ -255,7 +261,7 @@ def test_guess_cost_is_the_least():
     import random
 
     pick = random.Random(5)
-    parts = ["password", "Dragon", "p@55w0rd", "aaaaaaaa", "a" * 90, "1" * 70, "abcdefghij", "12345678", "qwertyuiop", "asdfg", "1999", "2001-12-31", "19991231", "1.2.2003", "123456", "x", "K#", "secret", "7"]
+    parts = ["password", "Dragon", "p@55w0rd", "aaaaaaaa", "a" * 90, "1" * 70, "abcdefghij", "12345678", "qwertyuiop", "asdfg", "1999", "2001-12-31", "19991231", "1.2.2003", "123456", "x", "K#", "secret", "7", "abcabcabc", "xY7xY7"]
     for _ in range(300):
         value = "".join(p[pick.randrange(2) * pick.randrange(len(p)) :] for p in pick.choices(parts, k=pick.randint(1, 4)))
         assert secrets.guess_cost(value) == pytest.approx(plain_guess_cost(value)), value
