@@ -231,3 +231,11 @@ def default_path() -> str:
 
 def op8_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), default_path())
+
+
+def bpe_round_trip(spark, sf_dir):
+    """The part of op8 that SQL can express: the decoded text is the text."""
+    return op8_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+BPE_ROUND_TRIP_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"

@@ -77,15 +77,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return map_stream(df, run, schema)
 
 
+_OWN: dict[str, str] = {}  # folders by application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share; one of our own where it is unset and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        return _OWN[app]
     return folder
 
 

@@ -370,3 +370,15 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
 def op4_media_columns(spark, sf_dir):
     return media_columns(table(spark, sf_dir, "documents"))
+
+
+def media_payload(spark, sf_dir):
+    """The part of op4 that SQL can express: sizes and digest of what is read back from the streams."""
+    return op4_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+MEDIA_PAYLOAD_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, raw, octet_length(raw) AS n, greatest(1, (octet_length(raw) + 575) // 576) * 576 AS whole FROM d)
+SELECT doc_id, n::BIGINT AS n_bytes, whole::BIGINT AS payload_bytes, sha256(raw || repeat('\xFF'::BLOB, whole - n)) AS payload_sha256 FROM p
+"""

@@ -339,3 +339,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op2_ngram_jaccard(spark, sf_dir):
     return link_components(table(spark, sf_dir, "documents"))
+
+
+#: Brute force: every two documents that share a shingle, and all that links reach.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT n, doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) r(i) WHERE len(w) > 0
+), c AS (SELECT n, any_value(doc_id) AS doc_id, count(*) AS k FROM s GROUP BY 1
+), e AS (
+  SELECT a.n AS a, b.n AS b FROM s a JOIN s b USING (g) JOIN c x ON x.n = a.n JOIN c y ON y.n = b.n
+  WHERE a.n <> b.n GROUP BY a.n, b.n, x.k, y.k HAVING 100 * count(*) >= 75 * (x.k + y.k - count(*))
+  UNION SELECT a.n, b.n FROM c a JOIN c b USING (doc_id) WHERE a.n <> b.n
+), reach(a, b) AS (SELECT n, n FROM c UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b
+), m AS (SELECT r.a AS n, min(y.doc_id) AS component_id FROM reach r JOIN c y ON y.n = r.b GROUP BY 1)
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN c USING (n) LEFT JOIN m USING (n)
+"""
