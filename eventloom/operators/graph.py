@@ -1,12 +1,15 @@
 """Exact nearest neighbours and neighbour graphs.
 
-The search compares every row with blocks of the table, which are broadcast one after the other and hold at most
-``BLOCK_BYTES``; each task keeps the k best of a block, and a window keeps the k best of all. Ties go to the smaller id, and
-a row is excluded by its id, not by distance 0.
+A base of up to ``BROADCAST_BYTES`` is broadcast once, and each task searches it for its own queries: no shuffle. A larger
+one is cut, as the queries are, into blocks of about ``BLOCK_BYTES`` by a hash of the id; each pair of blocks is a task's
+group of its own, and the k best of each group meet by query. Nothing is collected then, and a task holds two blocks. Both
+ways compute the same distances, ties go to the smaller id, and a row is excluded by its id, not by distance 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,15 +17,126 @@ from pyspark.sql import functions as F
 
 from eventloom.errors import ConfigurationError
 
-BLOCK_BYTES, ROWS_AT_ONCE = 64 << 20, 64
-METRICS = {
+BROADCAST_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
+NUMBERS = 1 << 21  # of a temporary, at most (a row of the base may have more)
+WORK = 1 << 31  # products that one task is given
+_PAIRS = "i long, j long, d double"
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, and 0 where both are 0."""
+    return a / np.where(b == 0, 1.0, b)
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 - cosine; a zero vector is at distance 1 from all."""
+    size = np.sqrt((a * a).sum(-1) * (b * b).sum(-1))
+    return 1 - _ratio((a * b).sum(-1), size)
+
+
+def _centred(a: np.ndarray) -> np.ndarray:
+    return a - a.mean(-1, keepdims=True)
+
+
+#: Distances along the last axis.
+METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)),
     "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(-1),
     "manhattan": lambda a, b: np.abs(a - b).sum(-1),
     "chebyshev": lambda a, b: np.abs(a - b).max(-1),
-    "cosine": lambda a, b: 1 - (a * b).sum(-1) / np.sqrt((a * a).sum(-1) * (b * b).sum(-1)),
+    "cosine": _cosine,
+    "correlation": lambda a, b: _cosine(_centred(a), _centred(b)),
+    "braycurtis": lambda a, b: _ratio(np.abs(a - b).sum(-1), np.abs(a + b).sum(-1)),
+    "canberra": lambda a, b: _ratio(np.abs(a - b), np.abs(a) + np.abs(b)).sum(-1),
+    "hamming": lambda a, b: (a != b).mean(-1),
 }
-METRICS |= {"l2": METRICS["euclidean"], "minkowski": METRICS["euclidean"], "l1": METRICS["manhattan"], "cityblock": METRICS["manhattan"]}
+METRICS |= {"l2": METRICS["euclidean"], "l1": METRICS["manhattan"], "cityblock": METRICS["manhattan"]}
+
+
+def measure_of(metric: str, p: float = 2.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    if metric == "minkowski":
+        if not p >= 1:
+            raise ConfigurationError(f"minkowski with p={p}")
+        return METRICS["euclidean"] if p == 2 else lambda a, b: (np.abs(a - b) ** p).sum(-1) ** (1 / p)
+    if metric not in METRICS:
+        raise ConfigurationError(f"metric {metric!r}; there are {', '.join(sorted([*METRICS, 'minkowski']))}")
+    return METRICS[metric]
+
+
+def _estimate(metric: str, p: float):
+    """A function to (near squared or cosine distances by one matrix product, bound of their error) where the metric has one."""
+    if metric in ("euclidean", "l2", "sqeuclidean") or metric == "minkowski" and p == 2:
+
+        def squares(a, b):
+            aa, bb = (a * a).sum(1), (b * b).sum(1)
+            return aa[:, None] + bb - 2 * (a @ b.T), 8e-16 * (a.shape[1] + 4) * (aa + bb.max(initial=0))
+
+        return squares
+    if metric == "cosine":
+        unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1.0)
+        return lambda a, b: (1 - unit(a) @ unit(b).T, np.full(len(a), 8e-16 * (a.shape[1] + 4)))
+    return None
+
+
+def _whole(measure, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances; no temporary has many more than ``NUMBERS`` numbers."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, NUMBERS // max(1, len(a) * a.shape[1]))
+    for at in range(0, len(b), step):
+        out[:, at : at + step] = measure(a[:, None, :], b[None, at : at + step])
+    return out
+
+
+def _search(own: np.ndarray, rows: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, p: float, same: bool) -> pa.RecordBatch:
+    """(i, j, d) of the k nearest of ``matrix`` for each of ``rows``, by i, then nearest first."""
+    measure, estimate = measure_of(metric, p), _estimate(metric, p)
+    n, width, out = len(ids), max(1, rows.shape[1]), []
+    step = max(1, NUMBERS // max(n, width))
+    for at in range(0, len(own) if n else 0, step):
+        i, a = own[at : at + step], rows[at : at + step]
+        near, error = estimate(a, matrix) if estimate else (_whole(measure, a, matrix), np.zeros(len(a)))
+        if same:
+            near[i[:, None] == ids] = np.inf
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(a), np.inf)
+        r, c = np.nonzero((near <= (limit + 2 * error)[:, None]) & np.isfinite(near))
+        d = near[r, c]
+        if estimate:  # measured by the definition where the estimate leaves a choice
+            for x in range(0, len(r), most := max(1, NUMBERS // width)):
+                d[x : x + most] = measure(a[r[x : x + most]], matrix[c[x : x + most]])
+        order = np.lexsort((ids[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((i[r[kept]], ids[c[kept]], d[kept]))
+    columns = zip(*out) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if out else c) for c in columns], names=["i", "j", "d"])
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of (event_id, v)."""
+    plain = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("event_id"), table.column("v"))]
+    ids = plain[0].to_numpy(zero_copy_only=False)
+    return ids, plain[1].flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    """``rows`` under new column identities, so that a table can meet itself."""
+    return rows.select(*(F.col(c).alias(c) for c in rows.columns if c in ("run_id", "event_id", "v")))
+
+
+def cells(queries: DataFrame, base: DataFrame, n_queries: int, n_base: int, width: int, fn, schema: str) -> DataFrame:
+    """``fn(own, rows, ids, matrix)`` to a RecordBatch for every pair of a block of queries and one of the base, both (event_id, v)."""
+    count = lambda n: max(1, -(-n * max(1, width) * 8 // BLOCK_BYTES))
+    q, b = count(n_queries), count(n_base)
+    block = lambda n: F.pmod(F.xxhash64("event_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _renamed(queries).select("*", block(q).alias("q"), every(b).alias("b")).groupBy("q", "b")
+    right = _renamed(base).select("*", block(b).alias("b"), every(q).alias("q")).groupBy("q", "b")
+    return left.cogroup(right).applyInArrow(lambda x, y: pa.Table.from_batches([fn(*_matrix(x), *_matrix(y))]), schema)
+
+
+def _size(vectors_: DataFrame) -> tuple[int, int]:
+    r = vectors_.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
+    return r.n, r.w or 1
 
 
 def vectors(space: DataFrame) -> DataFrame:
@@ -30,53 +144,68 @@ def vectors(space: DataFrame) -> DataFrame:
     return space.select("event_id", F.array(*[F.col(f"`{c}`").cast("double") for c in space.columns if c != "event_id"]).alias("v"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", same: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", same: bool = False, p: float = 2.0) -> DataFrame:
     """(i, j, d, rank): the k nearest of ``base`` for each query, both (event_id, v); ``same`` leaves out j = i."""
-    if metric not in METRICS:
-        raise ConfigurationError(f"metric {metric!r}")
-    spark, measure = base.sparkSession, METRICS[metric]
-    size = base.agg(F.count("*").alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.max(F.size("v")).alias("w")).first()
-    blocks = max(1, -(-(size.n * (size.w or 1) * 8) // BLOCK_BYTES))
-    found = None
-    for block in range(blocks):
-        part = base.where(F.pmod("event_id", F.lit(blocks)) == block).orderBy("event_id").toArrow()
-        ids = part.column("event_id").to_numpy()
-        flat = part.column("v").combine_chunks()
-        sent = spark.sparkContext.broadcast((ids, flat.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, size.w or 1))))
-
-        def search(batch: pa.RecordBatch, sent=sent):
-            ids, matrix = sent.value
-            own, rows = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            out = []
-            for a in range(0, len(own), ROWS_AT_ONCE):
-                d = measure(rows[a : a + ROWS_AT_ONCE, None, :], matrix[None])
-                if same:
-                    d[own[a : a + ROWS_AT_ONCE, None] == ids[None]] = np.inf
-                for i, row in zip(own[a : a + ROWS_AT_ONCE], d):
-                    limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                    at = np.flatnonzero(row <= limit)
-                    at = at[np.lexsort((ids[at], row[at]))][:k]
-                    at = at[np.isfinite(row[at])]
-                    out.append((np.full(len(at), i), ids[at], row[at]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["i", "j", "d"])
-
-        one = queries.select("event_id", "v").mapInArrow(lambda bs, f=search: (f(b) for b in bs if b.num_rows), "i long, j long, d double")
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("i").orderBy("d", "j")
+    measure_of(metric, p)  # an unknown name fails here
+    n, width = _size(base)
+    if n * width * 8 <= BROADCAST_BYTES:
+        return _near_broadcast(queries, base, n, width, k, metric, same, p)
+    asked = n if queries is base else queries.count()
+    found = cells(queries, base, asked, n, width, lambda *x: _search(*x, k, metric, p, same), _PAIRS)
+    order = Window.partitionBy("i").orderBy("d", "j")  # over k rows of each block of the base
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(space: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+def _near_broadcast(queries: DataFrame, base: DataFrame, n: int, width: int, k: int, metric: str, same: bool, p: float) -> DataFrame:
+    sent = base.sparkSession.sparkContext.broadcast(_matrix(base.select("event_id", "v").orderBy("event_id").toArrow()))  # of a checked size
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = _search(*_matrix(batch), *sent.value, k, metric, p, same)
+                i = found.column(0).to_numpy()
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+                rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) + 1
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(rank.astype(np.int32))], names=["i", "j", "d", "rank"])
+
+    rows = queries.select("event_id", "v")
+    if (tasks := (n if queries is base else queries.count()) * n * width // WORK) > 1:
+        rows = rows.repartition(min(tasks, 10 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.mapInArrow(run, _PAIRS + ", rank int")
+
+
+def knn(space: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0) -> DataFrame:
     n = space.count()
     if not 1 <= k < n:
         raise ConfigurationError(f"k={k} with {n} events")
     v = vectors(space)
-    return nearest(v, v, k, metric, same=True)
+    return nearest(v, v, k, metric, same=True, p=p)
+
+
+def _runs(df: DataFrame) -> list[str]:
+    return ["run_id"] if "run_id" in df.columns else []
+
+
+def nearest_by_run(rows: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0) -> DataFrame:
+    """(run_id, i, j, d, rank): the k nearest of each row of (run_id, event_id, v) among its run's, all runs in one job."""
+    measure_of(metric, p)
+    size = rows.groupBy("run_id").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).agg(F.max("n").alias("n"), F.max("w").alias("w")).first()
+    count = max(1, -(-(size.n or 0) * (size.w or 1) * 8 // BLOCK_BYTES))
+    block, every = F.pmod(F.xxhash64("event_id"), F.lit(count)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left, right = (_renamed(rows).select("*", own.alias("q"), other.alias("b")).groupBy("run_id", "q", "b") for own, other in ((block, every), (every, block)))
+
+    def run(key, x, y):
+        found = _search(*_matrix(x), *_matrix(y), k, metric, p, True)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * found.num_rows, pa.int64()), *found.columns], names=["run_id", "i", "j", "d"])])
+
+    found = left.cogroup(right).applyInArrow(run, "run_id long, " + _PAIRS)
+    order = Window.partitionBy("run_id", "i").orderBy("d", "j")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def symmetrise(directed: DataFrame, how: str = "max") -> DataFrame:
-    """(src, dst, w) with src < dst of (i, j, w): the larger weight of either direction, or with ``min`` of both."""
-    both = directed.where("i <> j").groupBy(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"))
+    """(src, dst, w) with src < dst of (i, j, w): the larger weight of either direction, or with ``min`` of both. Run by run with a run_id."""
+    both = directed.where("i <> j").groupBy(*_runs(directed), F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"))
     if how == "max":
         return both.agg(F.max("w").alias("w"))
     return both.agg(F.min("w").alias("w"), F.count("*").alias("n")).where("n = 2").drop("n")
@@ -84,27 +213,35 @@ def symmetrise(directed: DataFrame, how: str = "max") -> DataFrame:
 
 def jaccard_edges(neighbours: DataFrame, k: int, prune_below: float = 1 / 15) -> DataFrame:
     """Shared-neighbour weights of closed neighbourhoods, on the edges that either end lists."""
-    lists = neighbours.groupBy(F.col("i").alias("id")).agg(F.collect_list("j").alias("js")).select("id", F.array_append("js", F.col("id")).alias("js"))  # k + 1 each
-    edges = symmetrise(neighbours.select("i", "j", F.lit(1.0).alias("w"))).select("src", "dst")
-    met = edges.join(lists.select(F.col("id").alias("src"), F.col("js").alias("a")), "src").join(lists.select(F.col("id").alias("dst"), F.col("js").alias("b")), "dst")
+    by = _runs(neighbours)
+    lists = neighbours.groupBy(*by, F.col("i").alias("id")).agg(F.collect_list("j").alias("js")).select(*by, "id", F.array_append("js", F.col("id")).alias("js"))  # k + 1 each
+    edges = symmetrise(neighbours.select(*by, "i", "j", F.lit(1.0).alias("w"))).select(*by, "src", "dst")
+    met = edges.join(lists.select(*by, F.col("id").alias("src"), F.col("js").alias("a")), [*by, "src"]).join(lists.select(*by, F.col("id").alias("dst"), F.col("js").alias("b")), [*by, "dst"])
     shared = F.size(F.array_intersect("a", "b"))
-    return met.select("src", "dst", (shared / (2 * (k + 1) - shared)).alias("w")).where(F.col("w") > prune_below)
+    return met.select(*by, "src", "dst", (shared / (2 * (k + 1) - shared)).alias("w")).where(F.col("w") > prune_below)
 
 
 def gaussian_edges(neighbours: DataFrame) -> DataFrame:
-    sigma = F.max("d").over(Window.partitionBy("i"))
-    w = neighbours.withColumn("s", F.when(sigma > 0, sigma).otherwise(1.0)).select("i", "j", F.exp(-((F.col("d") / F.col("s")) ** 2)).alias("w"))
+    by = _runs(neighbours)
+    sigma = F.max("d").over(Window.partitionBy(*by, "i"))
+    w = neighbours.withColumn("s", F.when(sigma > 0, sigma).otherwise(1.0)).select(*by, "i", "j", F.exp(-((F.col("d") / F.col("s")) ** 2)).alias("w"))
     return symmetrise(w)
 
 
-def build_graph(space: DataFrame, *, k: int = 20, weighting: str = "jaccard", metric: str = "euclidean", prune_below: float = 1 / 15) -> DataFrame:
-    """Undirected edges (src, dst, w)."""
+def weigh(neighbours: DataFrame, k: int, weighting: str = "jaccard", prune_below: float = 1 / 15) -> DataFrame:
+    """Undirected edges (src, dst, w) of neighbour lists (i, j, d), run by run with a run_id."""
     if weighting not in ("jaccard", "distance", "uniform"):
         raise ConfigurationError(f"weighting {weighting!r}")
-    found = knn(space, k, metric)
     if weighting == "jaccard":
-        return jaccard_edges(found, k, prune_below)
-    return gaussian_edges(found) if weighting == "distance" else symmetrise(found.select("i", "j", F.lit(1.0).alias("w")))
+        return jaccard_edges(neighbours, k, prune_below)
+    return gaussian_edges(neighbours) if weighting == "distance" else symmetrise(neighbours.select(*_runs(neighbours), "i", "j", F.lit(1.0).alias("w")))
+
+
+def build_graph(space: DataFrame, *, k: int = 20, weighting: str = "jaccard", metric: str = "euclidean", p: float = 2.0, prune_below: float = 1 / 15) -> DataFrame:
+    """Undirected edges (src, dst, w)."""
+    if weighting not in ("jaccard", "distance", "uniform"):
+        raise ConfigurationError(f"weighting {weighting!r}")
+    return weigh(knn(space, k, metric, p), k, weighting, prune_below)
 
 
 def graph_stats(edges: DataFrame, n_nodes: int) -> DataFrame:
