@@ -155,7 +155,9 @@ def detect(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0, seed:
         got = leiden(n.event_id.tolist(), list(zip(e.src, e.dst, e.w)), resolution=float(n.resolution.iloc[0]), seed=int(n.seed.iloc[0]), objective=objective, n_iterations=n_iterations)
         return pd.DataFrame({"run_id": key[0], "event_id": list(got), "raw": list(got.values())})
 
-    return nodes.groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(run, "run_id long, event_id long, raw int")
+    # new column identities, as both may come of one table of runs
+    left, right = (d.select(*(F.col(c).alias(c) for c in d.columns)).groupBy("run_id") for d in (nodes, edges))
+    return left.cogroup(right).applyInPandas(run, "run_id long, event_id long, raw int")
 
 
 def quality(edges: DataFrame, labels: DataFrame, *, resolution: float = 1.0, objective: str = "modularity") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.errors import AmbiguousMarker, ConfigurationError, InsufficientData, UnknownMarker
+from eventloom.operators.ranks import quantiles
+from eventloom.plans.lineage import cut
 
 
 def split_markers(text: str) -> list[str]:
@@ -60,16 +62,16 @@ def select_subspace(events: DataFrame, names: Sequence[str], *, transform: str =
     rows = events.select("event_id", *(c.alias(f"m_{i}") for i, c in enumerate(cols)))
     if scaling == "none":
         return rows
-    stats, scaled = [], []
-    for i in range(len(names)):
-        m = F.col(f"m_{i}")
-        if scaling == "zscore":
-            stats += [F.avg(m).alias(f"c_{i}"), F.stddev_pop(m).alias(f"s_{i}")]
-        else:
-            q = F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            stats += [q[1].alias(f"c_{i}"), ((q[2] - q[0]) / 1.349).alias(f"s_{i}")]
-        scaled.append(((m - F.col(f"c_{i}")) / F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")).otherwise(1.0)).alias(f"m_{i}"))
-    return rows.crossJoin(F.broadcast(rows.agg(*stats))).select("event_id", *scaled)  # the right side is one row
+    places = range(len(names))
+    if scaling == "zscore":
+        scale = rows.agg(*(x for i in places for x in (F.avg(f"m_{i}").alias(f"c_{i}"), F.stddev_pop(f"m_{i}").alias(f"s_{i}"))))
+    else:
+        long = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m_{i}").alias("value")) for i in places])).alias("x")).select("x.i", "x.value")
+        q = quantiles(long, ["i"], "value", [0.25, 0.5, 0.75])
+        pick = lambda i, c: F.max(F.when(F.col("i") == i, c))
+        scale = q.agg(*(x for i in places for x in (pick(i, F.col("q_1")).alias(f"c_{i}"), pick(i, (F.col("q_2") - F.col("q_0")) / 1.349).alias(f"s_{i}"))))
+    scaled = (((F.col(f"m_{i}") - F.col(f"c_{i}")) / F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")).otherwise(1.0)).alias(f"m_{i}") for i in places)
+    return rows.crossJoin(F.broadcast(scale)).select("event_id", *scaled)  # the right side is one row
 
 
 def require_events(events: DataFrame) -> None:
@@ -79,8 +81,8 @@ def require_events(events: DataFrame) -> None:
 
 def dense(rows: DataFrame) -> DataFrame:
     """``rows`` with event_id counted anew from 0 in its order: sorted ranges are counted, then numbered within themselves."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: both jobs below see the same partitions
-    ordered = rows.repartitionByRange(n, "event_id").sortWithinPartitions("event_id").withColumn("__p", F.spark_partition_id()).persist()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  
+    ordered = cut(rows.repartitionByRange(n, "event_id").sortWithinPartitions("event_id").withColumn("__p", F.spark_partition_id()))
     counts = sorted((r["__p"], r["count"]) for r in ordered.groupBy("__p").count().collect())  # one row a partition
     first, total = {}, 0
     for p, n in counts:

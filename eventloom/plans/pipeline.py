@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.errors import CommunityNotFound, ConfigurationError, InsufficientData
@@ -19,6 +19,7 @@ EFFECT_NOTE = "Cliff's delta is the chance that a value of A exceeds one of B le
 CIRCULAR_NOTE = "Markers with * were used for clustering: their rows are descriptive and have no p-value."
 
 
+#: Names and defaults are the interface's: fixed values.
 @dataclass(frozen=True)
 class CommunityConfig:
     markers: tuple[str, ...]
@@ -118,10 +119,14 @@ def partition(space: DataFrame, config: CommunityConfig) -> tuple[DataFrame, Dat
     return edges, found.raw, found.labels
 
 
-def cluster(events: DataFrame, channels: list[tuple[str, str | None]], config: CommunityConfig, provenance: Provenance) -> CommunityResult:
+def build_subspace(events: DataFrame, channels: list[tuple[str, str | None]], config: CommunityConfig) -> DataFrame:
+    """The subspace half of a configuration: event_id and the transformed, scaled markers."""
     require_events(events)
-    names = resolve_all(config.markers, channels)
-    space = cut(select_subspace(events, names, transform=config.transform, cofactor=config.cofactor, scaling=config.scaling))
+    return select_subspace(events, resolve_all(config.markers, channels), transform=config.transform, cofactor=config.cofactor, scaling=config.scaling)
+
+
+def cluster(events: DataFrame, channels: list[tuple[str, str | None]], config: CommunityConfig, provenance: Provenance) -> CommunityResult:
+    space = cut(build_subspace(events, channels, config))
     edges, raw, labels = partition(space, config)
     return CommunityResult(config, provenance.derive(**config.to_dict()), events, channels, space, edges, raw, labels)
 
@@ -157,7 +162,7 @@ def compare_communities(result: CommunityResult, a: int, b: int, *, markers=None
     names = resolve_all(markers or [c[0] for c in result.channels], result.channels)
     used = set(resolve_all(result.config.markers, result.channels))
     space = select_subspace(result.events, names, transform=result.config.transform, cofactor=result.config.cofactor, scaling="none")
-    rows = _long(space, names, result.labels, a, b).persist()
+    rows = cut(_long(space, names, result.labels, a, b))
     table = compare.cliffs_delta(rows).join(compare.bootstrap_ci(rows, n_bootstrap, seed), "marker") if n_bootstrap > 0 else compare.cliffs_delta(rows).select("*", F.lit(float("nan")).alias("ci_low"), F.lit(float("nan")).alias("ci_high"))
     found = {r.marker: r.asDict() for r in table.withColumn("magnitude", compare.magnitude(F.col("delta"))).collect()}
     for r in compare.medians(rows).collect():
@@ -186,11 +191,11 @@ def _split(result, a, b, testable, space, names, n_permutations, seed, least: fl
     if not testable:
         return {}, ["no null hypothesis is testable: all markers were used for clustering"]
     half = F.pmod(F.xxhash64(F.lit(seed + 977), "event_id"), F.lit(2)) == 0
-    ids = result.space.select("event_id", half.alias("train")).persist()
+    ids = cut(result.space.select("event_id", half.alias("train")))
     kept = result.space.join(ids.where("train"), "event_id", "left_semi")
-    numbered = dense(kept.withColumn("own", F.col("event_id"))).persist()
+    numbered = cut(dense(kept.withColumn("own", F.col("event_id"))))
     _, _, labels = partition(numbered.drop("own"), result.config)
-    labels = labels.join(numbered.select("event_id", "own"), "event_id").select(F.col("own").alias("event_id"), F.col("community").alias("label")).persist()
+    labels = cut(labels.join(numbered.select("event_id", "own"), "event_id").select(F.col("own").alias("event_id"), F.col("community").alias("label")))
     reference = result.labels.select("event_id", F.col("community").alias("label"))
     table = agreement.contingency(reference, labels).where("cand >= 0")
     match = {r.ref: r.cand for r in compare.best_match(table, least).where(F.col("ref").isin(a, b)).collect()}
@@ -199,7 +204,7 @@ def _split(result, a, b, testable, space, names, n_permutations, seed, least: fl
     train = graph.vectors(result.space.join(ids.where("train"), "event_id", "left_semi"))
     test = graph.vectors(result.space.join(ids.where("not train"), "event_id", "left_semi"))
     voted = compare.vote(test, train, labels, result.config.k, result.config.metric).select("event_id", F.col("label").alias("community"))
-    rows = _long(space, names, voted, match[a], match[b]).where(F.col("marker").isin(testable)).persist()
+    rows = cut(_long(space, names, voted, match[a], match[b]).where(F.col("marker").isin(testable)))
     count = {r.side: r["count"] for r in rows.where(F.col("marker") == testable[0]).groupBy("side").count().collect()}
     if min(count.get("a", 0), count.get("b", 0)) < 20:
         return {}, ["fewer than 20 held-out events in a community"]
@@ -210,8 +215,9 @@ def _split(result, a, b, testable, space, names, n_permutations, seed, least: fl
 def assess_stability(result: CommunityResult, *, n_resamples: int = 40, subsample_fraction: float = 0.8, n_seeds: int = 5, k_values=None, resolutions=None, seed: int = 0) -> dict:
     """Evidence from subsamples, seeds and parameters.
 
-    Each subsample needs a graph of its own; its edges are checkpointed. All clusterings of one kind then run in
-    one job, a task each, and the evidence is aggregated by run: the number of jobs and plans after that doesn't grow with the runs.
+    All subsamples are one table with a run_id: one job finds the neighbours of all of them, one clusters them, a task each, and
+    the evidence is aggregated by run. The parameter sweep finds neighbours once, for its largest k, and clusters in one job too.
+    So the number of jobs and plans doesn't grow with the runs.
     """
     if not 0.1 <= subsample_fraction < 1:
         raise ConfigurationError("subsample_fraction must be within 0.1 and 1")
@@ -221,13 +227,10 @@ def assess_stability(result: CommunityResult, *, n_resamples: int = 40, subsampl
     take = max(config.k + 1, round(subsample_fraction * n))
     spark = result.space.sparkSession
     reference = cut(result.labels.select("event_id", F.col("community").alias("label")))
-    edges, drawn = None, None
-    for r in range(n_resamples):
-        run = F.lit(r).cast("long").alias("run_id")
-        d = cut(draw(result.space.select("event_id"), seed * 1_000_003 + r, take).select(run, "event_id"))
-        part = result.space.join(d.select("event_id"), "event_id", "left_semi")
-        e = cut(graph.build_graph(part, k=config.k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below).select(run, "*"))
-        edges, drawn = (e, d) if edges is None else (edges.unionByName(e), drawn.unionByName(d))
+    v = graph.vectors(result.space)
+    drawn = cut(draws(result.space.select("event_id"), seed * 1_000_003, n_resamples, take))
+    near = graph.nearest_by_run(drawn.join(v, "event_id").select("run_id", "event_id", "v"), config.k, config.metric)
+    edges = cut(graph.weigh(cut(near), config.k, config.weighting, config.prune_below))
     raw = communities.detect(edges, drawn, resolution=config.resolution, seed=config.seed, objective=config.objective)
     found, table = _against(reference, raw, config)
     best = agreement.best_jaccard(table)
@@ -247,16 +250,21 @@ def assess_stability(result: CommunityResult, *, n_resamples: int = 40, subsampl
         again = spark.range(n_seeds).select(F.col("id").alias("run_id"), (F.col("id") + config.seed + 1).alias("seed"))
         found, table = _against(reference, _many(result.edges, result.space, again, config.resolution, config), config)
         seed_ari = [r.ari for r in agreement.adjusted_rand(table).orderBy("run_id").collect()]
-    sweep, grid = [], list(resolutions or agreement.resolution_grid(config.resolution))
-    jobs = spark.createDataFrame([(i, float(g)) for i, g in enumerate(grid)], "run_id long, resolution double").withColumn("seed", F.lit(config.seed))
-    for k in k_values or agreement.k_grid(config.k):
-        if k >= n:
-            continue
-        e = cut(graph.build_graph(result.space, k=k, weighting=config.weighting, metric=config.metric, prune_below=config.prune_below))
-        found, table = _against(reference, _many(e, result.space, jobs, config.resolution, config), config)
+    grid, ks = [float(g) for g in resolutions or agreement.resolution_grid(config.resolution)], [k for k in k_values or agreement.k_grid(config.k) if k < n]
+    sweep = []
+    if ks and grid:
+        near, of_k = cut(graph.knn(result.space, max(ks), config.metric)), None
+        for i, k in enumerate(ks):
+            e = graph.weigh(near.where(F.col("rank") <= k), k, config.weighting, config.prune_below).select(F.lit(i).alias("graph"), "src", "dst", "w")
+            of_k = e if of_k is None else of_k.unionByName(e)
+        jobs = spark.createDataFrame([(i * len(grid) + x, i, g) for i in range(len(ks)) for x, g in enumerate(grid)], "run_id long, graph int, resolution double").withColumn("seed", F.lit(config.seed))
+        runs = F.broadcast(jobs)  # a row a run
+        edges = cut(of_k).join(runs.select("run_id", "graph"), "graph").select("run_id", "src", "dst", "w")
+        raw = communities.detect(edges, result.space.select("event_id").crossJoin(runs.drop("graph")), objective=config.objective)
+        found, table = _against(reference, raw, config)
         counts = {r.run_id: r.n for r in table.where("cand >= 0").groupBy("run_id").agg(F.countDistinct("cand").alias("n")).collect()}
         agreed = {r.run_id: r.ari for r in agreement.adjusted_rand(table).collect()}
-        sweep += [{"k": k, "resolution": g, "n_communities": counts.get(i, 0), "ari_vs_reference": agreed[i]} for i, g in enumerate(grid)]
+        sweep = [{"k": k, "resolution": g, "n_communities": counts.get(i * len(grid) + x, 0), "ari_vs_reference": agreed[i * len(grid) + x]} for i, k in enumerate(ks) for x, g in enumerate(grid)]
     return {"reference_sizes": {str(c): s for c, s in result.sizes().items()}, "n_resamples": n_resamples, "subsample_fraction": subsample_fraction, "resample_ari": {"mean": sum(ari) / len(ari), "min": min(ari)}, "resample_ami": {"mean": sum(ami) / len(ami)}, "seed_ari": {"values": seed_ari, "min": min(seed_ari, default=None)}, "per_community": per, "boundary_fraction": boundary, "sweep": sweep, "config": config.to_dict()}
 
 
@@ -269,7 +277,7 @@ def _against(reference: DataFrame, raw: DataFrame, config: CommunityConfig) -> t
 def _many(edges: DataFrame, space: DataFrame, runs: DataFrame, resolution: float, config: CommunityConfig) -> DataFrame:
     """Clusterings of one graph by several (run_id, seed[, resolution]); a copy of the graph goes to each run's task."""
     few = F.broadcast(runs)
-    return communities.detect(edges.crossJoin(F.broadcast(runs.select((F.col("run_id") + 0).alias("run_id")))), space.select("event_id").crossJoin(few), resolution=resolution, seed=config.seed, objective=config.objective)
+    return communities.detect(edges.crossJoin(F.broadcast(runs.select("run_id"))), space.select("event_id").crossJoin(few), resolution=resolution, seed=config.seed, objective=config.objective)
 
 
 def draw(ids: DataFrame, seed: int, take: int) -> DataFrame:
@@ -277,6 +285,14 @@ def draw(ids: DataFrame, seed: int, take: int) -> DataFrame:
     return ids.select("event_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("event_id").cast("string"))), "event_id").limit(take)
 
 
+def draws(ids: DataFrame, seed: int, n_runs: int, take: int) -> DataFrame:
+    """(run_id, event_id): for each run r what ``draw`` takes with seed + r."""
+    runs = F.broadcast(ids.sparkSession.range(n_runs).select(F.col("id").alias("run_id")))
+    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("run_id")).cast("string"), F.col("event_id").cast("string")))
+    order = Window.partitionBy("run_id").orderBy(key, "event_id")  # a run must fit one task for its clustering
+    return ids.select("event_id").crossJoin(runs).withColumn("place", F.row_number().over(order)).where(F.col("place") <= take).select("run_id", "event_id")
+
+
 def stability_of_pair(evidence: dict, a: int, b: int) -> str:
     per = {r["community"]: r for r in evidence["per_community"]}
     if a not in per or b not in per:
