@@ -16,6 +16,8 @@ _HOMES = {
     "detect_communities": "plans.pipeline",
     "find_communities": "plans.pipeline",
     "find_communities_in_file": "plans.pipeline",
+    "build_subspace": "plans.pipeline",
+    "make_dataset": "sources.synth",
     "make_events": "sources.synth",
     "read_fcs": "sources.fcs",
     "read_fcs_bytes": "sources.fcs",

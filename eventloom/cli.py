@@ -7,10 +7,12 @@ import json
 import sys
 
 from eventloom.errors import EventloomError
+from eventloom.provenance import VERSION
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="eventloom", description=__doc__)
+    p.add_argument("--version", action="version", version=f"%(prog)s {VERSION}")
     sub = p.add_subparsers(dest="command", required=True)
     demo = sub.add_parser("demo")
     demo.add_argument("path")
@@ -52,7 +54,7 @@ def _run(o) -> None:
     from eventloom.sources import fcs, synth
 
     if o.command == "demo":
-        for name, n in synth.write_demo_file(o.path, o.events, o.seed).items():
+        for name, n in synth.write_demo_file(o.path, o.events, o.seed).sizes().items():
             print(f"{name}: {n}")
         return
     spark = SparkSession.builder.appName("eventloom").getOrCreate()

@@ -73,6 +73,23 @@ class FCSFile:
     def channel_names(self) -> list[str]:
         return [c.name for c in self.layout.channels]
 
+    @property
+    def n_events(self) -> int:
+        return self.layout.n_events
+
+    def index_of(self, marker: str) -> int:
+        """Place of a channel by its name, else by its stain; the first where several have it. Case and outer white space don't count."""
+        wanted = marker.strip().casefold()
+        for kind in ("name", "stain"):
+            for place, channel in enumerate(self.layout.channels):
+                if wanted and (getattr(channel, kind) or "").strip().casefold() == wanted:
+                    return place
+        raise err.UnknownMarker(f"no channel {marker!r}; there are {', '.join(self.channel_names)}")
+
+    def column(self, marker: str) -> DataFrame:
+        """(event_id, value) of one channel; only its column is read on."""
+        return self.events.select("event_id", F.col(f"`{self.channel_names[self.index_of(marker)]}`").alias("value"))
+
     def to_pandas(self):
         return self.events.orderBy("event_id").drop("event_id").toPandas()
 
