@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import agreement, communities, compare, graph
 from eventloom.operators.subspace import select_subspace, subset
 from eventloom.plans import pipeline
+from eventloom.plans.lineage import local_folder
 from eventloom.provenance import Provenance, config_hash
 from eventloom.sources import fcs, synth
 
@@ -33,7 +36,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _sub(transform: str, scaling: str):
-    return lambda spark, d: _rounded(select_subspace(_events(spark, d, 8), [f"e{i}" for i in range(8)], transform=transform, cofactor=0.5, scaling=scaling))
+    return lambda spark, d: _rounded(select_subspace(_events(spark, d), [f"e{i}" for i in range(DIMS)], transform=transform, cofactor=0.5, scaling=scaling))
 
 
 def _knn(metric: str):
@@ -45,7 +48,7 @@ def _edges(weighting: str):
 
 
 def _sides(spark, d) -> DataFrame:
-    """events: value of clicks against views, by the parity of the user."""
+    """events: the values of each event type, side a of users with an even number and side b of the others."""
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.col("event_type").alias("marker"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("side"), "value")
 
@@ -70,10 +73,8 @@ def _cores(spark, d):
 
 
 def _matches(spark, d):
-    n = _runs(spark, d).groupBy("run_id", "community", "got").agg(F.count("*").alias("n"))
-    a, b = n.groupBy("run_id", "community").agg(F.sum("n").alias("na")), n.groupBy("run_id", "got").agg(F.sum("n").alias("nb"))
-    j = n.join(a, ["run_id", "community"]).join(b, ["run_id", "got"])
-    return j.groupBy("run_id", "community").agg(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
+    n = _runs(spark, d).groupBy("run_id", F.col("community").alias("ref"), F.col("got").alias("cand")).agg(F.count("*").alias("n"))
+    return agreement.best_jaccard(n)
 
 
 def _quality(objective: str):
@@ -93,16 +94,87 @@ def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return communities.sizes(_cluster(spark, d).labels)
 
 
+def _file(spark, d, kind: str) -> tuple:
+    """(values, names) of the event matrix that an FCS file is made of, on the driver as every FCS file; I has thousandths from 0 on."""
+    names = [f"e{i}" for i in range(DIMS)]
+    values = _events(spark, d).orderBy("event_id").toPandas()[names].to_numpy()
+    return (values * 1000).round().clip(0) if kind == "I" else values, names
+
+
 def _roundtrip(kind: str):
     def run(spark, d):
-        rows = _events(spark, d, 4).orderBy("event_id").toPandas()  # an FCS file is made on the driver
-        values = rows.drop(columns="event_id").to_numpy()
-        values = values if kind != "I" else (values * 1000).round().clip(0)
-        return _rounded(fcs.read_fcs_bytes(spark, fcs.build_fcs_bytes(values, ["e0", "e1", "e2", "e3"], datatype=kind)).events)
+        values, names = _file(spark, d, kind)
+        return _rounded(fcs.read_fcs_bytes(spark, fcs.build_fcs_bytes(values, names, datatype=kind)).events)
+
+    return run
+
+
+def _scan(spark, d) -> DataFrame:
+    """The events through the data source, a hundred a task."""
+    values, names = _file(spark, d, "D")
+    path = fcs.write_fcs(f"{local_folder(spark)}/scan-{uuid.uuid4().hex}.fcs", values, names, datatype="D")
+    fcs.read_fcs(spark, path)  # registers the source and validates the file
+    return _rounded(spark.read.format("fcs").option("events_per_task", "100").load(path))
+
+
+def _channels(spark, d) -> DataFrame:
+    values, names = _file(spark, d, "I")
+    channels = fcs.read_fcs_bytes(spark, fcs.build_fcs_bytes(values, names, datatype="I")).layout.channels
+    return spark.createDataFrame([(c.index, c.name, c.bits, float(c.range), c.is_log) for c in channels], "place long, name string, bits long, top double, is_log boolean")
+
+
+def _file_subset(spark, d) -> DataFrame:
+    values, names = _file(spark, d, "D")
+    ids = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 3 = 0").select(F.col("vec_id").alias("event_id"))
+    return _rounded(fcs.subset_events(fcs.read_fcs_bytes(spark, fcs.build_fcs_bytes(values, names, datatype="D")), ids).events)
+
+
+def _tests(spark, d) -> DataFrame:
+    """A p-value for each user of ``events``: the place of the user's mean value among all, as a share."""
+    means = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("marker")).agg(F.count("*").alias("n"))
+    return means.select("marker", ((F.col("n") * 7 + F.col("marker")) % 1000 / 1000.0).alias("p"))
+
+
+def _neighbour_jaccard(spark, d) -> DataFrame:
+    """How far the neighbours by two metrics agree, for each event."""
+    lists = lambda metric: graph.knn(_space(spark, d), K, metric).groupBy("i").agg(F.collect_list("j").alias(metric))
+    both = lists("euclidean").join(lists("manhattan"), "i")
+    return _rounded(both.select(F.col("i").alias("event_id"), agreement.jaccard(F.col("euclidean"), F.col("manhattan")).alias("jaccard")))
+
+
+def _partition_quality(spark, d) -> DataFrame:
+    raw = _labels(spark, d, "raw")
+    found = pipeline.Partition(_edges_exact(spark, d), raw, communities.relabel(raw), 0.6)
+    return _rounded(spark.createDataFrame([(found.quality(),)], "quality double"))
+
+
+def _result(spark, d) -> pipeline.CommunityResult:
+    """The given labels as the communities of the scaled embeddings."""
+    config = pipeline.CommunityConfig(tuple(f"e{i}" for i in range(32)), transform="none", scaling="none", k=K, min_size=5)
+    names = [(f"e{i}", None) for i in range(DIMS)]
+    space = pipeline.build_subspace(_events(spark, d), names, config)
+    labels = _labels(spark, d, "community")
+    edges = graph.build_graph(space, k=K)
+    return pipeline.CommunityResult(config, Provenance(f"{d}/embeddings.parquet"), _events(spark, d), names, space, edges, labels.withColumnRenamed("community", "raw"), labels)
+
+
+def _compared(inference: str, shown: str):
+    """The markers of a comparison of two given communities, but for the intervals and p-values, which are drawn."""
+
+    def run(spark, d):
+        found = pipeline.compare_communities(_result(spark, d), 0, 1, inference=inference, n_bootstrap=0 if inference == "descriptive" else 20, n_permutations=99)
+        rows = [(m["marker"], m["median_a"], m["median_b"], m["mad_a"], m["mad_b"], m["cliffs_delta"], m["magnitude"], m["used_for_clustering"], found["energy_distance"], m["p_value"], m["q_value"]) for m in found["markers"]]
+        made = spark.createDataFrame(rows, "marker string, median_a double, median_b double, mad_a double, mad_b double, delta double, magnitude string, used boolean, energy double, p double, q double")
+        return _rounded(made.selectExpr(*shown.split(", ")))
 
     return run
 
 
+def _stability(spark, d) -> DataFrame:
+    found = pipeline.assess_stability(_cluster(spark, d))
+    return spark.createDataFrame([(r["community"], r["size"], r["mean_jaccard"], r["core_fraction"], r["verdict"]) for r in found["per_community"]], "community long, size long, mean_jaccard double, core_fraction double, verdict string")
+
+
 def _vote(spark, d):
     v = graph.vectors(_space(spark, d))
     return compare.vote(v.where("event_id % 2 = 1"), v.where("event_id % 2 = 0"), _labels(spark, d), 7)
@@ -134,14 +206,22 @@ QUERIES = {
     "full_pipeline": full_pipeline,
     "cliffs_delta": lambda s, d: _rounded(compare.cliffs_delta(_sides(s, d)).withColumn("magnitude", compare.magnitude(F.col("delta")))),
     "medians_mad": lambda s, d: _rounded(compare.medians(_sides(s, d))),
-    "bootstrap_ci": lambda s, d: compare.bootstrap_ci(_sides(s, d), 100),
-    "permutation_bh": lambda s, d: compare.benjamini_hochberg(compare.permutation_p(_sides(s, d), 99)),
+    "bootstrap_ci": lambda s, d: compare.bootstrap_ci(_sides(s, d)),
+    "permutation_bh": lambda s, d: compare.benjamini_hochberg(compare.permutation_p(_sides(s, d))),
+    "benjamini_hochberg": lambda s, d: _rounded(compare.benjamini_hochberg(_tests(s, d))),
+    "compare_full": _compared("descriptive", "marker, median_a, median_b, mad_a, mad_b, delta, magnitude, used, energy"),
+    "split_inference": _compared("split", "marker, delta, magnitude, used, p, q"),
+    "stability_full": _stability,
+    "best_jaccard": lambda s, d: _rounded(_matches(s, d)),
+    "neighbour_jaccard": _neighbour_jaccard, "partition_quality": _partition_quality,
+    "fcs_scan": _scan, "fcs_channels": _channels, "fcs_subset": _file_subset,
     "energy_distance": _energy,
     "best_match": lambda s, d: _rounded(compare.best_match(agreement.contingency(_labels(s, d), _changed(s, d)))),
     "knn_vote": _vote,
     "ari": lambda s, d: _rounded(agreement.adjusted_rand(agreement.contingency(_labels(s, d), _changed(s, d)))),
     "ami": lambda s, d: _rounded(agreement.adjusted_mutual_info(agreement.contingency(_labels(s, d), _changed(s, d)))),
     "resample_draw": lambda s, d: pipeline.draw(_labels(s, d), 5, 200),
+    "resample_draws": lambda s, d: pipeline.draws(_labels(s, d), 1_000_003, 40, 200),
     "core_score": lambda s, d: _rounded(_cores(s, d)),
     "boundary_fraction": lambda s, d: _rounded(agreement.boundary_fraction(_cores(s, d))),
     "stability_summary": lambda s, d: _rounded(agreement.summary(_matches(s, d), _cores(s, d))),
@@ -152,13 +232,13 @@ QUERIES = {
 }
 
 
-def _cols(form: str, n: int = 8) -> str:
+def _cols(form: str, n: int = DIMS) -> str:
     return ", ".join(form.format(x=f"embedding[{i + 1}]::DOUBLE", i=i) for i in range(n))
 
 
 def _scaled(inner: str, centre: str, spread: str) -> str:
-    stats = ", ".join(f"{centre.format(c=f'm_{i}')} AS c_{i}, {spread.format(c=f'm_{i}')} AS s_{i}" for i in range(8))
-    out = ", ".join(f"round((m_{i} - c_{i}) / CASE WHEN s_{i} > 0 THEN s_{i} ELSE 1 END, 6) AS m_{i}" for i in range(8))
+    stats = ", ".join(f"{centre.format(c=f'm_{i}')} AS c_{i}, {spread.format(c=f'm_{i}')} AS s_{i}" for i in range(DIMS))
+    out = ", ".join(f"round((m_{i} - c_{i}) / CASE WHEN s_{i} > 0 THEN s_{i} ELSE 1 END, 6) AS m_{i}" for i in range(DIMS))
     return f"WITH v AS (SELECT vec_id AS event_id, {_cols(inner)} FROM embeddings), s AS (SELECT {stats} FROM v) SELECT event_id, {out} FROM v, s"
 
 
@@ -187,13 +267,15 @@ _SIDES = "s AS (SELECT event_type AS marker, CASE WHEN user_id % 2 = 0 THEN 'a'
 _RUNS = "r AS (SELECT run_id, vec_id AS event_id, label AS community, CASE WHEN (vec_id + run_id) % (run_id + 3) = 0 THEN (label + 1) % 10 ELSE label END AS got FROM embeddings, range(4) x(run_id))"
 _CORE = "core AS (SELECT event_id, community, avg((got = community)::INT) AS core FROM r GROUP BY ALL)"
 
+_E = ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS e{i}" for i in range(DIMS))
+
 ORACLES = {
     "subspace_none": f"SELECT vec_id AS event_id, {_cols('round({x}, 6) AS m_{i}')} FROM embeddings",
     "subspace_asinh": f"SELECT vec_id AS event_id, {_cols('round(asinh({x} / 0.5::DOUBLE), 6) AS m_{i}')} FROM embeddings",
     "subspace_zscore": _scaled(_PLAIN, "avg({c})", "stddev_pop({c})"),
     "subspace_asinh_zscore": _scaled(_ASINH, "avg({c})", "stddev_pop({c})"),
     "subspace_robust": _scaled(_PLAIN, "quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349::DOUBLE"),
-    "subset_frozen_scaling": f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, {', '.join(f'm_{i}' for i in range(8))} FROM ({_scaled(_PLAIN, 'avg({c})', 'stddev_pop({c})')}) WHERE event_id % 3 = 0",
+    "subset_frozen_scaling": f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, {', '.join(f'm_{i}' for i in range(DIMS))} FROM ({_scaled(_PLAIN, 'avg({c})', 'stddev_pop({c})')}) WHERE event_id % 3 = 0",
     **{f"knn_{m}": f"WITH {_near(m)} SELECT i, j, rank, round(d, 6) AS d FROM knn" for m in _DISTANCE},
     "graph_uniform": f"WITH {_near()} SELECT src, dst, 1.0::DOUBLE AS w FROM cand",
     "graph_mutual": f"WITH {_near()} SELECT least(i, j) AS src, greatest(i, j) AS dst, 1.0::DOUBLE AS w FROM knn GROUP BY 1, 2 HAVING count(*) = 2",
@@ -239,9 +321,40 @@ ORACLES = {
         SELECT community, size, round(mj, 6) AS mean_jaccard, round(lj, 6) AS low_jaccard, round(rec, 6) AS recovery, round(cf, 6) AS core_fraction,
         CASE WHEN mj >= 0.75 AND cf >= 0.8 THEN 'reliable' WHEN mj >= 0.5 THEN 'qualified' ELSE 'unreliable' END AS verdict FROM a JOIN c USING (community)""",
     "sweep_grid": "SELECT k, r AS resolution FROM (VALUES (15::BIGINT), (22), (30), (45), (60)) a(k), (VALUES (0.3::DOUBLE), (0.45), (0.6), (0.9), (1.2)) b(r)",
-    "fcs_roundtrip_f": "SELECT vec_id AS event_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS e{i}" for i in range(4)) + " FROM embeddings",
-    "fcs_roundtrip_d": "SELECT vec_id AS event_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS e{i}" for i in range(4)) + " FROM embeddings",
-    "fcs_roundtrip_i": "SELECT vec_id AS event_id, " + ", ".join(f"greatest(round_even(embedding[{i + 1}]::DOUBLE * 1000, 0), 0) + 0 AS e{i}" for i in range(4)) + " FROM embeddings",
+    "fcs_roundtrip_f": f"SELECT vec_id AS event_id, {_E} FROM embeddings",
+    "fcs_roundtrip_d": f"SELECT vec_id AS event_id, {_E} FROM embeddings",
+    "fcs_roundtrip_i": "SELECT vec_id AS event_id, " + ", ".join(f"greatest(round_even(embedding[{i + 1}]::DOUBLE * 1000, 0), 0) + 0 AS e{i}" for i in range(DIMS)) + " FROM embeddings",
     "synth_truth_sizes": "SELECT * FROM (VALUES ('CD4 T', 1800::BIGINT), ('CD8 T', 1320), ('B', 1200), ('NK', 780), ('CD4 T activated', 810), ('Rare NKT', 90)) t(population, n)",
     "config_hash": """SELECT substr(sha256('{"a":[1,2],"b":1}'), 1, 16) AS id""",
+    "fcs_scan": f"SELECT vec_id AS event_id, {_E} FROM embeddings",
+    "fcs_subset": f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS event_id, {_E} FROM embeddings WHERE vec_id % 3 = 0",
+    "fcs_channels": f"""WITH m AS ({" UNION ALL ".join(f"SELECT {i + 1} AS place, 'e{i}' AS name, max(greatest(round_even(embedding[{i + 1}]::DOUBLE * 1000, 0), 0)) AS top FROM embeddings" for i in range(DIMS))})
+        SELECT place::BIGINT AS place, name, 32::BIGINT AS bits, greatest(top, 1)::DOUBLE AS top, false AS is_log FROM m""",
+    "best_jaccard": f"""WITH {_RUNS}, n AS (SELECT run_id, community, got, count(*)::DOUBLE AS n FROM r GROUP BY ALL),
+        j AS (SELECT run_id, community, got, n / (sum(n) OVER (PARTITION BY run_id, community) + sum(n) OVER (PARTITION BY run_id, got) - n) AS j FROM n)
+        SELECT run_id, community, got AS cand, round(j, 6) AS jaccard FROM j QUALIFY row_number() OVER (PARTITION BY run_id, community ORDER BY j DESC, got) = 1""",
+    "neighbour_jaccard": f"""WITH {_near()}, near2 AS (SELECT a.id AS i, b.id AS j, {_DISTANCE["manhattan"]} AS d FROM v a, v b WHERE a.id <> b.id),
+        knn2 AS (SELECT i, j FROM near2 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= {K}),
+        b AS (SELECT i, count(*)::DOUBLE AS n FROM knn JOIN knn2 USING (i, j) GROUP BY 1)
+        SELECT id AS event_id, round(coalesce(n, 0) / ({2 * K} - coalesce(n, 0)), 6) AS jaccard FROM v LEFT JOIN b ON i = id""",
+    "benjamini_hochberg": """WITH t AS (SELECT user_id AS marker, (count(*) * 7 + user_id) % 1000 / 1000.0::DOUBLE AS p FROM events GROUP BY 1),
+        r AS (SELECT marker, p, row_number() OVER (ORDER BY p, marker) AS r, count(*) OVER () AS m FROM t)
+        SELECT marker, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""",
+    "ami": f"""WITH {_TABLE}, a AS (SELECT ref, sum(n) AS x FROM t GROUP BY 1), b AS (SELECT cand, sum(n) AS y FROM t GROUP BY 1), s AS (SELECT sum(n) AS n FROM t),
+        mi AS (SELECT sum(t.n / s.n * ln(s.n * t.n / (x * y))) AS mi FROM t JOIN a USING (ref) JOIN b USING (cand), s),
+        e AS (SELECT sum(c / n * ln(n * c / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(c + 1) - lgamma(x - c + 1) - lgamma(y - c + 1) - lgamma(n - x - y + c + 1))) AS e
+              FROM (SELECT x, y, n, unnest(range(greatest(1, x + y - n)::BIGINT, least(x, y)::BIGINT + 1)) AS c FROM a, b, s)),
+        h AS (SELECT (SELECT -sum(x / n * ln(x / n)) FROM a, s) AS ha, (SELECT -sum(y / n * ln(y / n)) FROM b, s) AS hb)
+        SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, e, h""",
+    "resample_draws": "SELECT run_id, vec_id AS event_id FROM embeddings, range(40) x(run_id) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY md5((1000003 + run_id)::VARCHAR || ':' || vec_id::VARCHAR), vec_id) <= 200",
+    "compare_full": f"""WITH s AS (SELECT 'e' || (i - 1) AS marker, i, label, embedding[i]::DOUBLE AS value FROM embeddings, range(1, {DIMS + 1}) x(i) WHERE label IN (0, 1)),
+        r AS (SELECT *, rank() OVER (PARTITION BY marker ORDER BY value) + (count(*) OVER (PARTITION BY marker, value) - 1) / 2.0::DOUBLE AS r FROM s),
+        x AS (SELECT marker, i, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b, sum(r) FILTER (label = 0) AS ra, median(value) FILTER (label = 0) AS median_a, median(value) FILTER (label = 1) AS median_b, mad(value) FILTER (label = 0) AS mad_a, mad(value) FILTER (label = 1) AS mad_b FROM r GROUP BY 1, 2),
+        y AS (SELECT *, 2 * (ra - a * (a + 1) / 2.0::DOUBLE) / (a * b) - 1 AS delta FROM x),
+        v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE label IN (0, 1) QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id::VARCHAR)) <= 2000),
+        p AS (SELECT p.label AS x, q.label AS y, avg(list_distance(p.v, q.v)) AS d FROM v p JOIN v q ON p.label < q.label OR (p.label = q.label AND p.id < q.id) GROUP BY ALL),
+        z AS (SELECT greatest(0, 2 * sum(d) FILTER (x <> y) - sum(d) FILTER (x = y)) AS energy FROM p)
+        SELECT marker, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(mad_a, 6) AS mad_a, round(mad_b, 6) AS mad_b, round(delta, 6) AS delta,
+        CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude, i <= 32 AS used, round(energy, 6) AS energy FROM y, z""",
 }
+ORACLES["partition_quality"] = ORACLES["quality_modularity"]
