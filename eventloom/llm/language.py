@@ -23,21 +23,27 @@ from eventloom.llm.common import crc_fold, map_batches, table
 BUCKETS, SAMPLE, LEAST, ALPHA = 1 << 15, 6000, 200, 0.5
 CHUNK = 1 << 20  # characters that are hashed at once
 _FOLDS, _HELD = 3, 1
-_KIND = None
+_PAGE = 256  # code points that are looked up together
 
 
-def _letters() -> np.ndarray:
-    """Lower-case letter of every code point, 0 where it is no letter."""
-    global _KIND
-    if _KIND is None:
-        table_ = np.zeros(0x110000, np.uint32)
-        for c in range(0x110000):
-            s = chr(c)
-            if s.isalpha():
-                low = s.lower()
-                table_[c] = ord(low) if len(low) == 1 else c
-        _KIND = table_
-    return _KIND
+class _Letters:
+    """Lower-case letter of code points, 0 where one is no letter; filled page by page as texts need it."""
+
+    def __init__(self):
+        self.low = np.zeros(0x110000, np.uint32)
+        self.known = np.zeros(0x110000 // _PAGE, bool)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        pages = points // _PAGE
+        for page in np.unique(pages[~self.known[pages]]).tolist():
+            for c in range(page * _PAGE, (page + 1) * _PAGE):
+                if (s := chr(c)).isalpha():
+                    self.low[c] = ord(low) if len(low := s.lower()) == 1 else c
+            self.known[page] = True
+        return self.low[points]
+
+
+_LETTERS = _Letters()
 
 
 def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +63,7 @@ def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all texts, each followed by a border, and the text's place of each character."""
     joined = "\0".join(texts) + "\0"
-    codes = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    codes = _LETTERS.of(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
     return codes, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
 
 
