@@ -2,9 +2,12 @@
 
 Encoding cuts the samples into frames of 576, predicts each frame with a constant, a fixed polynomial of order 0 to 4 or a
 two-tap linear predictor (whichever leaves the least residual), and writes Rice codes in four partitions. Every frame has
-its CRC-8 and CRC-16; the stream has STREAMINFO with the MD5 of the samples and a SEEKTABLE with a point for each frame.
-Decoding finds the frames by the seek table, verifies both checksums of each, decodes Rice residuals and predictors of all
-frames of a chunk side by side, and verifies the MD5. ``pcm_blocks`` gives the samples in blocks with their offsets.
+its CRC-8 and CRC-16; the stream has STREAMINFO with the MD5 of the samples and a SEEKTABLE with a point for each frame. A
+SEEKTABLE holds at most ``POINTS`` points: of a longer stream it has every second frame, or every third and so on, and
+APPLICATION blocks have the sizes of all frames.
+Decoding finds the frames by these, verifies both checksums of each, decodes Rice residuals and predictors of all
+frames of a chunk side by side, and verifies the MD5. ``read_samples`` seeks: it reads and verifies only the frames that hold
+the samples asked for, whatever the rest. ``pcm_blocks`` gives the samples in blocks with their offsets, a chunk at a time.
 
 At most ``CHUNK`` frames are held as bits at a time, whatever the length of a text. Null text counts as empty; an empty text
 is one frame of padding. Repeated rows stay; an empty table gives an empty result; only doc_id and text are read. Damaged
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from eventloom.llm.common import map_batches, map_stream, table
 
 FRAME, RATE, PARTS, CHUNK, PAD = 576, 8000, 2, 2048, 255
+POINTS, SIZES = ((1 << 24) - 1) // 18, 1 << 23  # of a SEEKTABLE, and frame sizes of an APPLICATION block: what 24 bits of length allow
+_POINT = np.dtype([("sample", ">u8"), ("byte", ">u8"), ("size", ">u2")])
 _FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]])
 _SHIFT, _PRECISION = 6, 9  # of the two-tap predictor's coefficients
 
@@ -175,33 +180,53 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         sizes = [len(f) for f in own]
         md5 = hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest()
         info = struct.pack(">HH", FRAME, FRAME) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
-        seek = np.zeros(c, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("size", ">u2")]))
-        seek["sample"], seek["byte"], seek["size"] = np.arange(c) * FRAME, np.cumsum([0, *sizes[:-1]]), FRAME
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * c).to_bytes(3, "big") + seek.tobytes() + b"".join(own))
+        each, at_byte = -(-c // POINTS), np.cumsum([0, *sizes[:-1]])
+        seek = np.zeros(-(-c // each), _POINT)
+        seek["sample"], seek["byte"], seek["size"] = np.arange(0, c, each) * FRAME, at_byte[::each], FRAME
+        blocks = [(0, info), *((2, b"elSZ" + np.array(sizes[a : a + SIZES - 2], ">u2").tobytes()) for a in (range(0, c, SIZES - 2) if each > 1 else ())), (3, seek.tobytes())]
+        heads = (bytes([kind | 128 * (i == len(blocks) - 1)]) + len(body).to_bytes(3, "big") + body for i, (kind, body) in enumerate(blocks))
+        out.append(b"fLaC" + b"".join(heads) + b"".join(own))
     return out
 
 
 def _open(stream: bytes):
-    """(samples, md5, frame ranges) of a stream's metadata."""
+    """(samples, md5, starts and sizes of the frames) from a stream's metadata."""
     if stream[:4] != b"fLaC":
         raise CorruptStream("no FLAC marker")
-    at, last, total, md5, seek = 4, False, 0, b"", None
+    at, last, total, md5, seek, sizes = 4, False, 0, b"", None, []
     while not last:
         if at + 4 > len(stream):
             raise CorruptStream("metadata ends early")
         last, kind, size = bool(stream[at] & 128), stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
         at += 4 + size
+        if len(body) < size:
+            raise CorruptStream("metadata ends early")
         if kind == 0:
             if struct.unpack(">HH", body[:4]) != (FRAME, FRAME):
                 raise CorruptStream("blocks aren't of 576 samples")
             total, md5 = int.from_bytes(body[10:18], "big") & ((1 << 36) - 1), body[18:34]
+        elif kind == 2 and body[:4] == b"elSZ":
+            sizes.append(np.frombuffer(body[4:], ">u2"))
         elif kind == 3:
-            seek = np.frombuffer(body, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("size", ">u2")]))
-    if seek is None or len(seek) * FRAME != total:
-        raise CorruptStream("no seek point for each frame")
-    start = seek["byte"].astype(np.int64) + at
-    return total, md5, start, np.append(start[1:], len(stream)) - start
+            seek = np.frombuffer(body, _POINT)
+    frames = total // FRAME
+    if seek is None or not len(seek) or total % FRAME:
+        raise CorruptStream("no seek points")
+    if sizes:
+        length = np.concatenate(sizes).astype(np.int64)
+        start = np.cumsum(length) - length
+        each = -(-frames // len(seek))
+        if len(length) != frames or not np.array_equal(seek["byte"], start[::each]):
+            raise CorruptStream("seek points and frame sizes disagree")
+    else:
+        if len(seek) != frames:
+            raise CorruptStream("no seek point for each frame")
+        start = seek["byte"].astype(np.int64)
+        length = np.append(start[1:], len(stream) - at) - start
+    if (length < 8).any() or start[-1] + length[-1] + at > len(stream):
+        raise CorruptStream("a frame's place")
+    return total, md5, start + at, length
 
 
 def _decode_chunk(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -287,21 +312,26 @@ def _decode_chunk(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     return out
 
 
+def _decode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Samples of frames that follow each other in ``data``, a chunk at a time."""
+    got = np.empty((len(start), FRAME), np.int8)
+    for a in range(0, len(start), CHUNK):
+        s, z = start[a : a + CHUNK], size[a : a + CHUNK]
+        low, high = int(s[0]), int(s[-1] + z[-1])
+        chunk = _decode_chunk(data[low:high], s - low, z)
+        if chunk.min() < -128 or chunk.max() > 127:
+            raise CorruptStream("a sample out of range")
+        got[a : a + CHUNK] = chunk
+    return got.ravel()
+
+
 def decode(streams: list[bytes]) -> list[bytes]:
     """Payloads of streams; every checksum is verified."""
     heads = [_open(s) for s in streams]
     base = np.cumsum([0, *map(len, streams)])
-    data = np.frombuffer(b"".join(streams), np.uint8)
-    start = np.concatenate([h[2] + b for h, b in zip(heads, base)])
-    size = np.concatenate([h[3] for h in heads])
-    got = np.empty((len(start), FRAME), np.int32)
-    for a in range(0, len(start), CHUNK):
-        s, z = start[a : a + CHUNK], size[a : a + CHUNK]
-        low, high = int(s[0]), int(s[-1] + z[-1])
-        got[a : a + CHUNK] = _decode_chunk(data[low:high], s - low, z)
-    if len(got) and (got.min() < -128 or got.max() > 127):
-        raise CorruptStream("a sample out of range")
-    flat, at, out = got.astype(np.int8).ravel(), 0, []
+    start = np.concatenate([h[2] + b for h, b in zip(heads, base)]) if heads else np.zeros(0, np.int64)
+    size = np.concatenate([h[3] for h in heads]) if heads else start
+    flat, at, out = _decode_frames(np.frombuffer(b"".join(streams), np.uint8), start, size), 0, []
     for total, md5, *_ in heads:
         own = flat[at : at + total]
         at += total
@@ -311,6 +341,17 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+def read_samples(stream: bytes, first: int, count: int, head=None) -> bytes:
+    """``count`` bytes of the payload from ``first`` on, fewer at its end; only their frames are read and verified."""
+    total, _, start, size = head or _open(stream)
+    first, end = max(0, first), min(total, first + count)
+    if first >= end:
+        return b""
+    a, b = first // FRAME, -(-end // FRAME)
+    own = _decode_frames(np.frombuffer(stream, np.uint8), start[a:b], size[a:b])[first - a * FRAME : end - a * FRAME]
+    return (own.view(np.uint8) ^ 128).tobytes()
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode()
     return raw + bytes([PAD]) * (max(1, -(-len(raw) // FRAME)) * FRAME - len(raw)), len(raw)
@@ -361,9 +402,11 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
             for doc_id, stream in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if stream is None:
                     continue
-                raw = decode([stream])[0]
-                at = list(range(0, len(raw), FRAME))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), b.schema.field(0).type), pa.array(at, pa.int64()), pa.array([raw[a : a + FRAME] for a in at], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+                head = _open(stream)
+                for first in range(0, head[0], CHUNK * FRAME):
+                    raw = read_samples(stream, first, CHUNK * FRAME, head)
+                    at = range(0, len(raw), FRAME)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), b.schema.field(0).type), pa.array([first + a for a in at], pa.int64()), pa.array([raw[a : a + FRAME] for a in at], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
 
     return map_stream(media.select("doc_id", "media"), run, f"doc_id {dict(media.dtypes)['doc_id']}, sample_offset long, pcm binary")
 
