@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,26 +16,45 @@ UNASSIGNED = -1
 
 
 class _Level:
-    """One aggregation level: weighted neighbours, strength, size and self weight of every node."""
+    """One aggregation level: the links of each node as a range of two arrays, and strength and size of every node."""
 
-    def __init__(self, links, strength, size, objective, resolution, total):
-        self.links, self.strength, self.size = links, strength, size
-        self.mass = strength if objective == "modularity" else size
+    def __init__(self, row, to, weight, strength, size, objective, resolution, total):
+        self.row, self.to, self.weight, self.strength, self.size = row, to, weight, strength, size  # links by row, then by node
+        self.start = np.searchsorted(row, np.arange(len(size) + 1)).tolist()
+        self.objective, self.resolution, self.total = objective, resolution, total
+        self.mass = (strength if objective == "modularity" else size).tolist()
         self.penalty = resolution / total if objective == "modularity" and total else resolution
 
+    def links(self, v: int):
+        a, b = self.start[v], self.start[v + 1]
+        return zip(self.to[a:b].tolist(), self.weight[a:b].tolist())
+
+    def neighbours(self, v: int) -> list[int]:
+        return self.to[self.start[v] : self.start[v + 1]].tolist()
+
     def best(self, v, group, mass, own):
         """The group among the neighbours' that gains most over ``own``; its gain."""
         toward: dict[int, float] = {}
-        for u, w in self.links[v].items():
-            toward[group[u]] = toward.get(group[u], 0.0) + w
-        m = self.mass[v]
-        stay = toward.get(own, 0.0) - self.penalty * m * (mass[own] - m)
+        for u, w in self.links(v):
+            g = group[u]
+            toward[g] = toward.get(g, 0.0) + w
+        m, penalty = self.mass[v], self.penalty
+        stay = toward.get(own, 0.0) - penalty * m * (mass[own] - m)
         best, gain = own, 1e-12
         for g in sorted(toward):
-            if g != own and (d := toward[g] - self.penalty * m * mass[g] - stay) > gain:
+            if g != own and (d := toward[g] - penalty * m * mass[g] - stay) > gain:
                 best, gain = g, d
         return best
 
+    def merged(self, part: np.ndarray, n: int) -> _Level:
+        """The level whose nodes are the ``n`` parts."""
+        row, to = part[self.row], part[self.to]
+        between = row != to
+        pairs, inverse = np.unique(row[between] * n + to[between], return_inverse=True)
+        weight = np.bincount(inverse, self.weight[between], len(pairs))
+        sums = (np.bincount(part, x, n) for x in (self.strength, self.size))
+        return _Level(pairs // n, pairs % n, weight, *sums, self.objective, self.resolution, self.total)
+
 
 def _move(level: _Level, group: list[int], rng) -> bool:
     """Queue-based local moving, in place; whether a node moved."""
@@ -54,7 +75,7 @@ def _move(level: _Level, group: list[int], rng) -> bool:
             mass[own] -= level.mass[v]
             mass[to] += level.mass[v]
             group[v], moved = to, True
-            for u in level.links[v]:
+            for u in level.neighbours(v):
                 if group[u] != to and not waiting[u]:
                     waiting[u] = True
                     queue.append(u)
@@ -68,7 +89,8 @@ def _refine(level: _Level, group: list[int], rng) -> list[int]:
     total: dict[int, float] = {}
     for v in range(n):
         total[group[v]] = total.get(group[v], 0.0) + level.mass[v]
-    inside = [sum(w for u, w in level.links[v].items() if group[u] == group[v]) for v in range(n)]
+    of = np.array(group)
+    inside = np.bincount(level.row, np.where(of[level.row] == of[level.to], level.weight, 0.0), n).tolist()
     cut = list(inside)  # weight from a part to the rest of its group
     order = list(range(n))
     rng.shuffle(order)
@@ -77,7 +99,7 @@ def _refine(level: _Level, group: list[int], rng) -> list[int]:
         if not alone[v] or inside[v] < level.penalty * m * (total[group[v]] - m):
             continue
         toward: dict[int, float] = {}
-        for u, w in level.links[v].items():
+        for u, w in level.links(v):
             if group[u] == group[v]:
                 toward[part[u]] = toward.get(part[u], 0.0) + w
         best, gain = part[v], 0.0
@@ -93,46 +115,39 @@ def _refine(level: _Level, group: list[int], rng) -> list[int]:
     return part
 
 
-def leiden(nodes: list[int], edges: list[tuple[int, int, float]], *, resolution: float = 1.0, seed: int = 0, objective: str = "modularity", n_iterations: int = 5) -> dict[int, int]:
-    """Community of every node. Nodes and edges are sorted first, so that the result depends on the graph and the seed alone."""
-    names = sorted(nodes)
-    index, rng = {v: i for i, v in enumerate(names)}, random.Random(seed)
-    links: list[dict[int, float]] = [{} for _ in names]
-    for a, b, w in sorted(edges):
-        links[index[a]][index[b]] = links[index[b]][index[a]] = w
-    total = sum(sum(x.values()) for x in links)
-    base = _Level(links, [sum(x.values()) for x in links], [1.0] * len(names), objective, resolution, total)
-    member = list(range(len(names)))
+def leiden(nodes: Sequence[int], edges, *, resolution: float = 1.0, seed: int = 0, objective: str = "modularity", n_iterations: int = 5) -> dict[int, int]:
+    """Community of every node, for edges (a, b, w) as rows or as three arrays. All are sorted first, so that the result depends on the graph and the seed alone."""
+    names, rng = np.unique(np.asarray(nodes, np.int64)), random.Random(seed)
+    a, b, w = edges if isinstance(edges, tuple) else (zip(*edges) if len(edges) else ([], [], []))
+    a, b = (np.searchsorted(names, np.asarray(x, np.int64)) for x in (a, b))
+    row, to, w = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.asarray(w, float), 2)
+    order = np.lexsort((w, to, row))
+    row, to, w = row[order], to[order], w[order]
+    once = np.r_[(row[1:] != row[:-1]) | (to[1:] != to[:-1]), np.ones(min(1, len(row)), bool)] & (row != to)
+    row, to, w = row[once], to[once], w[once]
+    n = len(names)
+    strength = np.bincount(row, w, n)
+    base = _Level(row, to, w, strength, np.ones(n), objective, resolution, float(strength.sum()))
+    member = list(range(n))
     for _ in range(n_iterations):
-        start, level, of = list(member), base, list(range(len(names)))
+        start, level, of = list(member), base, np.arange(n)
         group = list(member)
         while True:
             moved = _move(level, group, rng)
-            member = [group[of[v]] for v in range(len(names))]
-            part = _refine(level, group, rng)
-            kept = {p: i for i, p in enumerate(sorted(set(part)))}
+            member = np.array(group, np.int64)[of].tolist()
+            part = np.array(_refine(level, group, rng), np.int64)
+            kept, part = np.unique(part, return_inverse=True)
             if len(kept) == len(part) or not moved and len(kept) == len(set(group)):
                 break
-            n = len(kept)
-            merged: list[dict[int, float]] = [{} for _ in range(n)]
-            strength, size, upper = [0.0] * n, [0.0] * n, [0] * n
-            for v in range(len(part)):
-                p = kept[part[v]]
-                strength[p] += level.strength[v]
-                size[p] += level.size[v]
-                upper[p] = group[v]
-                for u, w in level.links[v].items():
-                    q = kept[part[u]]
-                    if q != p:
-                        merged[p][q] = merged[p].get(q, 0.0) + w
-            groups = {g: i for i, g in enumerate(sorted(set(upper)))}
-            of = [kept[part[of[v]]] for v in range(len(names))]
-            level, group = _Level(merged, strength, size, objective, resolution, total), [groups[g] for g in upper]
+            upper = np.zeros(len(kept), np.int64)
+            upper[part] = group
+            of, level = part[of], level.merged(part, len(kept))
+            group = np.unique(upper, return_inverse=True)[1].tolist()
         first: dict[int, int] = {}
         member = [first.setdefault(g, len(first)) for g in member]
         if member == start:
             break
-    return dict(zip(names, member))
+    return dict(zip(names.tolist(), member))
 
 
 def detect(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0, seed: int = 0, objective: str = "modularity", n_iterations: int = 5) -> DataFrame:
@@ -152,7 +167,7 @@ def detect(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0, seed:
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame({"run_id": [], "event_id": [], "raw": []})
-        got = leiden(n.event_id.tolist(), list(zip(e.src, e.dst, e.w)), resolution=float(n.resolution.iloc[0]), seed=int(n.seed.iloc[0]), objective=objective, n_iterations=n_iterations)
+        got = leiden(n.event_id.to_numpy(), (e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy()), resolution=float(n.resolution.iloc[0]), seed=int(n.seed.iloc[0]), objective=objective, n_iterations=n_iterations)
         return pd.DataFrame({"run_id": key[0], "event_id": list(got), "raw": list(got.values())})
 
     # new column identities, as both may come of one table of runs
