@@ -23,24 +23,25 @@ from eventloom.llm.common import crc_fold, map_batches, table
 BUCKETS, SAMPLE, LEAST, ALPHA = 1 << 15, 6000, 200, 0.5
 CHUNK = 1 << 20  # characters that are hashed at once
 _FOLDS, _HELD = 3, 1
-_PAGE = 256  # code points that are looked up together
+_PAGE, _UNKNOWN = 256, 0xFFFFFFFF  # code points that are looked up together, and the mark of those that aren't yet
 
 
 class _Letters:
     """Lower-case letter of code points, 0 where one is no letter; filled page by page as texts need it."""
 
     def __init__(self):
-        self.low = np.zeros(0x110000, np.uint32)
-        self.known = np.zeros(0x110000 // _PAGE, bool)
+        self.low = np.full(0x110000, _UNKNOWN, np.uint32)
 
     def of(self, points: np.ndarray) -> np.ndarray:
-        pages = points // _PAGE
-        for page in np.unique(pages[~self.known[pages]]).tolist():
-            for c in range(page * _PAGE, (page + 1) * _PAGE):
-                if (s := chr(c)).isalpha():
-                    self.low[c] = ord(low) if len(low := s.lower()) == 1 else c
-            self.known[page] = True
-        return self.low[points]
+        got = self.low[points]
+        missing = got == _UNKNOWN
+        if missing.any():
+            for page in np.unique(points[missing] // _PAGE).tolist():
+                for c in range(page * _PAGE, (page + 1) * _PAGE):
+                    s = chr(c)
+                    self.low[c] = (ord(low) if len(low := s.lower()) == 1 else c) if s.isalpha() else 0
+            got = self.low[points]
+        return got
 
 
 _LETTERS = _Letters()
