@@ -50,7 +50,8 @@ def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     The bound is the session's, as Spark reads it when the plan runs; a lower one that is set already stays.
     """
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
+    size = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(_BATCH_BYTES_KEY).strip().lower())
+    if size is None or int(size[1]) << (10 * " kmgt".index(size[2] or " ")) > BATCH_BYTES:
         conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

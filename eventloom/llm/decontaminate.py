@@ -184,12 +184,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _united(docs: DataFrame, blocks: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
     """One row of SCHEMA for each doc_id and text of ``docs``."""
-    once, parts = docs.dropDuplicates(["doc_id", "h"]), None
-    for block in blocks:
-        found = durable(_scan(once, block, window).where("n_hit > 0"))  # now, so that the driver lets go of the block
+    parts = None
+    for block in blocks:  # texts are read, never shuffled; a checkpoint now, so that the driver lets go of the block
+        found = durable(_scan(docs, block, window).where("n_hit > 0").dropDuplicates(["doc_id", "h"]))
         parts = found if parts is None else parts.unionByName(found)
     hits = parts.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
-    counted = map_batches(once, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t.as_py())) for t in b.column(1)], pa.int64()), b.column(2)], names=["doc_id", "n_words", "h"]), "doc_id long, n_words long, h long")
+    counted = map_batches(docs, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t.as_py())) for t in b.column(1)], pa.int64()), b.column(2)], names=["doc_id", "n_words", "h"]), "doc_id long, n_words long, h long").distinct()
     hits = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "s", "i")
     united = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "n_words", "h", F.coalesce("s", F.array().cast("array<int>")).alias("s"), F.coalesce("i", F.array().cast("array<string>")).alias("i"))
 
