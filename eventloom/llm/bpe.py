@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import map_batches, table
 
-WORDS_KEPT, ARCS_KEPT = 200_000, 500_000  # entries after which a table is emptied: bounds of memory, not of results
+WORDS_KEPT, ARCS_KEPT = 400_000, 500_000  # entries after which a table is emptied: bounds of memory, not of results
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 
@@ -89,10 +89,12 @@ class Automaton:
             self.rank.setdefault((u, v), r)
             self.made.setdefault(w, (r, u, v))
         self.token = {b: i for b, i in self.token.items() if (len(b) == 1 or i in self.made) and self._sound(i)}
-        #: the length of the longest token with these first three bytes
-        self.reach: dict[bytes, int] = {}
+        #: the lengths, longest first, of the tokens with these first four bytes
+        lengths: dict[bytes, set[int]] = {}
         for b in self.token:
-            self.reach[b[:3]] = max(self.reach.get(b[:3], 0), len(b))
+            if len(b) >= 4:
+                lengths.setdefault(b[:4], set()).add(len(b))
+        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in lengths.items()}
         self.size = {i: len(b) for b, i in self.token.items()}
         #: the longest token that begins a token and isn't it
         self.shorter: dict[int, int] = {}
@@ -164,9 +166,12 @@ class Automaton:
 
     def _longest(self, word: bytes, at: int) -> int:
         """The longest token that the bytes from ``at`` on begin with."""
-        token = self.token
-        for end in range(min(len(word), at + self.reach.get(word[at : at + 3], 2)), at, -1):
-            if (t := token.get(word[at:end])) is not None:
+        get, head = self.token.get, word[at : at + 4]
+        for k in self.lengths.get(head, ()):
+            if (t := get(word[at : at + k])) is not None:
+                return t
+        for k in (3, 2, 1):
+            if (t := get(head[:k])) is not None:
                 return t
         raise ValueError("a byte without a token")
 
