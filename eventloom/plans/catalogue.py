@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import agreement, communities, compare, graph
@@ -170,6 +170,15 @@ def _compared(inference: str, shown: str):
     return run
 
 
+def _rings(spark, d) -> DataFrame:
+    """Communities of a graph that has one best partition: the events of a label stand in a ring, each linked to the next 15."""
+    placed = _labels(spark, d).select("event_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("event_id")) - 1).alias("at"), F.count("*").over(Window.partitionBy("label")).alias("n"))
+    ahead = placed.select("label", F.col("event_id").alias("i"), "at", "n", F.explode(F.sequence(F.lit(1), F.lit(K))).alias("step")).select("label", "i", ((F.col("at") + F.col("step")) % F.col("n")).alias("at"))
+    met = ahead.join(placed.select("label", "at", F.col("event_id").alias("j")), ["label", "at"])
+    edges = graph.symmetrise(met.select("i", "j", F.lit(1.0).alias("w")))
+    return pipeline.detect_communities(edges, _labels(spark, d), resolution=0.6).labels
+
+
 def _stability(spark, d) -> DataFrame:
     found = pipeline.assess_stability(_cluster(spark, d))
     return spark.createDataFrame([(r["community"], r["size"], r["mean_jaccard"], r["core_fraction"], r["verdict"]) for r in found["per_community"]], "community long, size long, mean_jaccard double, core_fraction double, verdict string")
@@ -203,7 +212,7 @@ QUERIES = {
     "members": lambda s, d: communities.members(_labels(s, d, "community"), 3),
     "relabel_by_size": lambda s, d: communities.relabel(_labels(s, d, "raw"), 50),
     "leiden_labels": lambda s, d: _cluster(s, d).labels,
-    "full_pipeline": full_pipeline,
+    "full_pipeline": full_pipeline, "leiden_rings": _rings,
     "cliffs_delta": lambda s, d: _rounded(compare.cliffs_delta(_sides(s, d)).withColumn("magnitude", compare.magnitude(F.col("delta")))),
     "medians_mad": lambda s, d: _rounded(compare.medians(_sides(s, d))),
     "bootstrap_ci": lambda s, d: compare.bootstrap_ci(_sides(s, d)),
@@ -358,3 +367,4 @@ ORACLES = {
         CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude, i <= 32 AS used, round(energy, 6) AS energy FROM y, z""",
 }
 ORACLES["partition_quality"] = ORACLES["quality_modularity"]
+ORACLES["leiden_rings"] = ORACLES["relabel_by_size"].replace("n < 50", "n < 10")
