@@ -52,7 +52,7 @@ def test_broken_markup_and_names(page, text):
 def test_hostile_pages_take_linear_time(page):
     began = time.process_time()
     html_text.main_text(page)
-    assert time.process_time() - began < 2  # a page of about 1 MB; usually well under half a second
+    assert time.process_time() - began < 4  # a page of about 1 MB: under half a second here, minutes if it were quadratic
 
 
 def test_pages_with_clashing_columns(spark):
