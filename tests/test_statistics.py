@@ -86,6 +86,10 @@ def test_few_chebyshev_distances_are_measured(monkeypatch):
     assert measured(monkeypatch, "chebyshev") < 0.1
 
 
+def test_few_manhattan_distances_are_measured(monkeypatch):
+    assert measured(monkeypatch, "manhattan") < 0.1
+
+
 def test_neighbours_by_run(spark):
     rng = np.random.default_rng(3)
     matrix = rng.normal(size=(50, 3))
