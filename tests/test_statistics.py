@@ -90,6 +90,10 @@ def test_few_manhattan_distances_are_measured(monkeypatch):
     assert measured(monkeypatch, "manhattan") < 0.1
 
 
+def test_lists_by_two_metrics_measure_few_distances(monkeypatch):
+    assert sum(measured(monkeypatch, metric, 16) for metric in ("euclidean", "manhattan")) < 0.2
+
+
 def test_neighbours_by_run(spark):
     rng = np.random.default_rng(3)
     matrix = rng.normal(size=(50, 3))
