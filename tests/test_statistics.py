@@ -108,6 +108,29 @@ def test_neighbours_by_run(spark):
     assert sorted(map(tuple, edges.where("run_id = 1").drop("run_id").collect())) == sorted(map(tuple, graph.weigh(graph.nearest(v, v, 4, same=True), 4).collect()))
 
 
+@pytest.mark.parametrize("weighting", ["jaccard", "distance", "uniform"])
+def test_lists_of_runs_are_those_of_searches(spark, weighting):
+    """From more neighbours of all, and where these are too few; weights are those of ``weigh``."""
+    v = frame(spark, np.random.default_rng(10).normal(size=(60, 3)))
+    drawn = spark.createDataFrame([(r, i) for r in range(70) for i in range(60) if (i * 7 + r * 11) % 5], "run_id long, event_id long")
+    want = graph.nearest_by_run(drawn.join(v, "event_id").select("run_id", "event_id", "v"), 4)
+    lists = {}
+    for most in (12, 5):
+        got = graph.lists_of_runs(graph.nearest(v, v, most, same=True), drawn.where("run_id in (0, 61, 62, 69)"), v, 70, 4).collect()
+        lists[most] = {(r.run_id, r.event_id): (r.js, r.ds) for r in got}
+    by = {}
+    for r in want.where("run_id in (0, 61, 62, 69)").orderBy("rank").collect():
+        by.setdefault((r.run_id, r.i), ([], []))
+        by[r.run_id, r.i][0].append(r.j)
+        by[r.run_id, r.i][1].append(r.d)
+    assert lists[12] == lists[5] == by
+    mine = {i: x for (r, i), x in by.items() if r == 62}
+    of = [(x, j, d) for x, (js, ds) in enumerate(mine.values()) for j, d in zip(js, ds)]
+    src, dst, w = graph.edges_of_lists(np.array(list(mine)), *map(np.array, zip(*of)), 4, weighting, 1 / 15)
+    edges = graph.weigh(want.where("run_id = 62").drop("run_id"), 4, weighting).collect()
+    assert {(a, b): x for a, b, x in zip(src.tolist(), dst.tolist(), w.tolist())} == {(r.src, r.dst): pytest.approx(r.w, abs=1e-12) for r in edges}
+
+
 def test_unknown_metrics(spark):
     v = frame(spark, np.eye(3))
     with pytest.raises(err.ConfigurationError, match="canberra"):
