@@ -131,6 +131,14 @@ def test_lists_of_runs_are_those_of_searches(spark, weighting):
     assert {(a, b): x for a, b, x in zip(src.tolist(), dst.tolist(), w.tolist())} == {(r.src, r.dst): pytest.approx(r.w, abs=1e-12) for r in edges}
 
 
+def test_a_base_is_cut_into_few_blocks(spark, monkeypatch):
+    """Queries meet few rows for each block of a base, so its blocks are larger than theirs."""
+    monkeypatch.setattr(graph, "BLOCK_BYTES", 10 * 3 * 8)
+    v = frame(spark, np.random.default_rng(11).normal(size=(160, 3)))
+    groups = graph.cells(v, v, 160, 160, 3, lambda own, rows, ids, matrix: graph.pa.RecordBatch.from_arrays([graph.pa.array([len(ids)])], names=["n"]), "n long").collect()
+    assert len(groups) == 32 and sum(g.n for g in groups) == 16 * 160
+
+
 def test_unknown_metrics(spark):
     v = frame(spark, np.eye(3))
     with pytest.raises(err.ConfigurationError, match="canberra"):
