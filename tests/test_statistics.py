@@ -1,6 +1,7 @@
 """Neighbours, order statistics, tests and agreement against plain numpy."""
 
 import math
+import pickle
 from itertools import combinations
 
 import numpy as np
@@ -113,6 +114,13 @@ def test_few_manhattan_distances_are_measured_beside_a_wide_column():
     assert sum(seen) < 0.1 * 64 * matrix.size
 
 
+def test_a_worker_makes_the_bounds_of_a_broadcast_base_once(monkeypatch):
+    made, real = [], graph._bounds
+    monkeypatch.setattr(graph, "_bounds", lambda *x: (made.append(1), real(*x))[1])
+    sent = pickle.loads(pickle.dumps(graph._Sent(np.arange(9), np.eye(9), "manhattan", 2.0)))
+    assert sent.base().search(np.arange(2), np.eye(9)[:2], 2, True).column(1).to_pylist() == [1, 2, 0, 2] and sent.base() is sent.base() and len(made) == 1
+
+
 def test_lists_by_two_metrics_measure_few_distances(monkeypatch):
     assert sum(measured(monkeypatch, metric, 16) for metric in ("euclidean", "manhattan")) < 0.2
 
