@@ -137,8 +137,9 @@ def _tests(spark, d) -> DataFrame:
 
 def _neighbour_jaccard(spark, d) -> DataFrame:
     """How far the neighbours by two metrics agree, for each event."""
-    lists = lambda metric: graph.knn(_space(spark, d), K, metric).groupBy("i").agg(F.collect_list("j").alias(metric))
-    both = lists("euclidean").join(lists("manhattan"), "i")
+    metrics = ["euclidean", "manhattan"]
+    near = graph.knn_by_each(_space(spark, d), K, metrics)
+    both = near.groupBy("i").agg(*(F.collect_list(F.when(F.col("metric") == at, F.col("j"))).alias(metric) for at, metric in enumerate(metrics)))
     return _rounded(both.select(F.col("i").alias("event_id"), agreement.jaccard(F.col("euclidean"), F.col("manhattan")).alias("jaccard")))
 
 

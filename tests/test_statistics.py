@@ -5,11 +5,13 @@ import pickle
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom import errors as err
 from eventloom.operators import agreement, compare, graph, ranks
+from eventloom.plans import catalogue
 
 
 def frame(spark, matrix):
@@ -125,6 +127,38 @@ def test_lists_by_two_metrics_measure_few_distances(monkeypatch):
     assert sum(measured(monkeypatch, metric, 16) for metric in ("euclidean", "manhattan")) < 0.2
 
 
+def test_lists_by_two_metrics_come_from_one_search(spark, monkeypatch):
+    made, real = [], graph._near_broadcast
+    monkeypatch.setattr(graph, "_near_broadcast", lambda *x: (made.append(1), real(*x))[1])
+    assert catalogue.QUERIES["neighbour_jaccard"](spark, "/root/testdata/sf0.001").count() == 500 and len(made) == 1
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_one_search_by_each_metric_finds_what_each_finds_alone(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(4)
+    matrix = np.concatenate([rng.integers(0, 3, (60, 3)), rng.normal(size=(60, 3)), np.ones((30, 3))]).astype(float)  # many ties and copies
+    v, metrics = frame(spark, matrix), ["euclidean", "manhattan", "chebyshev", "cosine"]
+    if blocks:
+        monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(graph, "BLOCK_BYTES", 40 * 3 * 8)
+    rows = lambda near: sorted(map(tuple, near.select("i", "j", "d", "rank").collect()))
+    each = graph.nearest_by_each(v, v, 7, metrics, same=True).cache()
+    for at, metric in enumerate(metrics):
+        assert rows(each.where(F.col("metric") == at)) == rows(graph.nearest(v, v, 7, metric, same=True))
+    assert each.count() == 4 * 150 * 7
+
+
+def test_neighbours_by_one_metric_limit_those_by_the_next(monkeypatch):
+    matrix, ids, left, real = np.random.default_rng(9).normal(size=(9000, 24)), np.arange(9000), [], graph._places
+    monkeypatch.setattr(graph, "_places", lambda mask: (left.append(mask.sum()), real(mask))[1])
+    bases = [graph._Base(ids, matrix, metric, 2.0) for metric in ("euclidean", "manhattan")]
+    alone = [base.search(ids[:64], matrix[:64], 5, True) for base in bases]
+    n, left[:] = sum(left), []
+    both = graph._search_each(bases, ids[:64], matrix[:64], 5, True)
+    assert [both.filter(pa.array(both.column(0).to_numpy() == at)).select(["i", "j", "d"]) for at in (0, 1)] == alone
+    assert sum(left) < 0.8 * n
+
+
 def test_neighbours_by_run(spark):
     rng = np.random.default_rng(3)
     matrix = rng.normal(size=(50, 3))
